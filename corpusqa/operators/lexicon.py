@@ -31,14 +31,13 @@ def _keyword_pattern(word: str) -> str:
     return java(p if " " in word else rf"\b{p}\b", ignore_case=True)
 
 
-def lexicon_refs(docs: DataFrame, words: Sequence[str] = V.KEYWORDS,
-                 id_cols: Sequence[str] = ("doc_id",), text_col: str = "text",
-                 scope: str = "line", limit: int = V.CONTEXT_CHARS) -> DataFrame:
-    """One row per (comment or string segment, word in it): ids, line, keyword, context."""
+def lexicon_hits(text: Column, words: Sequence[str] = V.KEYWORDS, scope: str = "line",
+                 limit: int = V.CONTEXT_CHARS) -> Column:
+    """array<struct<line, keyword, context>>: each word once per segment that has it."""
     any_word = "|".join(f"(?:{_keyword_pattern(w)})" for w in words)
-    segments = F.filter(matches(F.col(text_col), segment_pattern(scope)),
+    segments = F.filter(matches(text, segment_pattern(scope)),
                         lambda s: s["text"].rlike(any_word))
-    hits = F.flatten(F.transform(segments, lambda s: F.transform(
+    return F.flatten(F.transform(segments, lambda s: F.transform(
         F.filter(
             F.array(*[F.when(s["text"].rlike(_keyword_pattern(w)), F.lit(w)) for w in words]),
             lambda w: w.isNotNull(),
@@ -46,7 +45,32 @@ def lexicon_refs(docs: DataFrame, words: Sequence[str] = V.KEYWORDS,
         lambda w: F.struct(s["line"].alias("line"), w.alias("keyword"),
                            TX.clip(_trim_break(s["text"]), limit, strip_after=True).alias("context")),
     )))
-    return docs.select(*id_cols, F.inline(hits))
+
+
+def lexicon_refs(docs: DataFrame, words: Sequence[str] = V.KEYWORDS,
+                 id_cols: Sequence[str] = ("doc_id",), text_col: str = "text",
+                 scope: str = "line", limit: int = V.CONTEXT_CHARS) -> DataFrame:
+    """One row per (comment or string segment, word in it): ids, line, keyword, context."""
+    return docs.select(*id_cols, F.inline(lexicon_hits(F.col(text_col), words, scope, limit)))
+
+
+def first_hit(docs: DataFrame, words: Sequence[str] = V.KEYWORDS,
+              id_cols: Sequence[str] = ("doc_id",), text_col: str = "text",
+              scope: str = "line") -> DataFrame:
+    """Per document with hits: how many, and the first one."""
+    def summary(hits: Column) -> Column:
+        first = F.array_min(F.transform(hits, lambda h: F.struct(
+            h["line"].alias("line"), h["keyword"].alias("keyword"))))
+        return F.struct(F.size(hits).alias("n"), first["line"].alias("first_line"),
+                        first["keyword"].alias("first_keyword"))
+
+    hits = TX.let(lexicon_hits(F.col(text_col), words, scope), summary)
+    return docs.select(*id_cols, TX.one_row(hits, lambda r: r["n"] > 0))
+
+
+def lexicon_rollup(refs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hits per document and, with a null id, in all."""
+    return refs.rollup(id_col).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _trim_break(segment: Column) -> Column:
