@@ -31,10 +31,13 @@ def issue_array(text: Column, lang: Column, rules: Sequence[V.Rule] = V.ISSUE_RU
     if with_structure:
         none = F.array().cast(_NO_ISSUES)
         each = F.when(lang == "Python", S.structure_issues(text))
+        # One fold for all languages that share their loop words.
+        by_words: dict[tuple[str, ...], list[str]] = {}
         for name, words in V.LOOP_WORDS.items():
             if name not in ("Python", "Ruby"):
-                found = S.nested_loop_issues(S.brace_loops(text, name))
-                each = each.when(lang == name, found)
+                by_words.setdefault(words, []).append(name)
+        for words, names in by_words.items():
+            each = each.when(lang.isin(*names), S.nested_loop_issues(S.brace_loops(text, words)))
         functions = F.when(lang.isin("JavaScript", "TypeScript"), S.brace_function_issues(text))
         parts += [each.otherwise(none), functions.otherwise(none)]
     return F.concat(*parts)
@@ -86,7 +89,7 @@ def technical_debt(issues: DataFrame, duplicate_blocks: DataFrame | None = None)
         hours = hours.unionByName(duplicate_blocks.select(
             F.lit(float(V.DUPLICATE_HOURS)).alias("hours")))
     return hours.agg(F.coalesce(F.sum("hours"), F.lit(0.0)).alias("debt_hours")).select(
-        "debt_hours", F.round(F.col("debt_hours") / V.HOURS_PER_DAY, 1).alias("debt_days"))
+        "debt_hours", F.bround(F.col("debt_hours") / V.HOURS_PER_DAY, 1).alias("debt_days"))
 
 
 # ----------------------------------------------------------- quality metrics
@@ -166,7 +169,7 @@ def corpus_metrics(facts: DataFrame, keys: Sequence[str] = (),
         F.col("total_lines_of_code"), F.col("comment_density"))
     return base.withColumn("maintainability_index", index).withColumn(
         "maintainability_rating", rating(F.col("maintainability_index"))).withColumn(
-        "technical_debt_days", F.round(F.col("technical_debt_hours") / V.HOURS_PER_DAY, 1))
+        "technical_debt_days", F.bround(F.col("technical_debt_hours") / V.HOURS_PER_DAY, 1))
 
 
 def maintainability_index(complexity: Column, line_length: Column, loc: Column,

@@ -285,14 +285,9 @@ def _brace_fold(text: Column, header: str) -> Column:
         a["blocks"].alias("blocks"), a["loops"].alias("loops")))
 
 
-def _loop_header(lang: str) -> str:
-    words = V.LOOP_WORDS.get(lang, V.DEFAULT_LOOP_WORDS)
-    return f"{BEFORE_WORD}(?:{'|'.join(words)}){AFTER_WORD}"
-
-
-def brace_loops(text: Column, lang: str = "JavaScript") -> Column:
+def brace_loops(text: Column, words: Sequence[str] = V.LOOP_WORDS["JavaScript"]) -> Column:
     """array<struct<line, inner_line>>: loops that hold a loop, brace languages."""
-    return _brace_fold(text, _loop_header(lang))["loops"]
+    return _brace_fold(text, f"{BEFORE_WORD}(?:{'|'.join(words)}){AFTER_WORD}")["loops"]
 
 
 def brace_functions(text: Column) -> Column:

@@ -88,7 +88,7 @@ def with_share(counts: DataFrame, n: str) -> DataFrame:
     what the unpartitioned window sees.
     """
     total = F.sum(n).over(Window.partitionBy())
-    return counts.withColumn("percentage", F.round(F.col(n) / total * 100, 1))
+    return counts.withColumn("percentage", F.bround(F.col(n) / total * 100, 1))
 
 
 def requirement_files(files: DataFrame, project: Column, name: Column) -> DataFrame:
