@@ -15,23 +15,28 @@ SENTINEL = "\u0001"
 STAND_IN = "\u0002"
 
 
-def _marked_lines(text: Column, pattern: str) -> Column:
-    clean = F.translate(text, SENTINEL, STAND_IN)
-    marked = F.regexp_replace(clean, pattern, SENTINEL + "$0")
-    return F.transform(
-        lines(marked),
-        lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw")),
-    )
+def unmarked(text: Column) -> Column:
+    """The text without the sentinel, ready to be marked."""
+    return F.translate(text, SENTINEL, STAND_IN)
+
+
+def mark(clean: Column, pattern: str) -> Column:
+    """Write the sentinel in front of every match."""
+    return F.regexp_replace(clean, pattern, SENTINEL + "$0")
+
+
+def _hit_rows(marked: Column) -> Column:
+    rows = F.transform(lines(marked), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw")))
+    return F.filter(rows, lambda h: h["raw"].contains(SENTINEL))
 
 
 def _count(raw: Column) -> Column:
     return F.length(raw) - F.length(F.replace(raw, F.lit(SENTINEL), F.lit("")))
 
 
-def hit_lines(text: Column, pattern: str) -> Column:
+def hit_lines(marked: Column) -> Column:
     """array<struct<line:int, n:int, context:string>>: lines where matches start."""
-    marked = F.filter(_marked_lines(text, pattern), lambda h: h["raw"].contains(SENTINEL))
-    return F.transform(marked, lambda h: F.struct(
+    return F.transform(_hit_rows(marked), lambda h: F.struct(
         h["line"].alias("line"),
         _count(h["raw"]).alias("n"),
         strip(F.replace(h["raw"], F.lit(SENTINEL), F.lit(""))).alias("context"),
@@ -44,7 +49,7 @@ def matches(text: Column, pattern: str) -> Column:
     ``pattern`` is wrapped in a group, so a backreference in it counts one up.
     """
     starts = F.flatten(F.transform(
-        F.filter(_marked_lines(text, pattern), lambda h: h["raw"].contains(SENTINEL)),
+        _hit_rows(mark(unmarked(text), pattern)),
         lambda h: F.array_repeat(h["line"], _count(h["raw"])),
     ))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -22,25 +22,42 @@ _FUNCTIONS = "array<struct<name:string,line:int,end_line:int,lines:int,params:in
 
 # -------------------------------------------------------------------- issues
 
+def python_structure(text: Column, lang: Column) -> Column:
+    """Structure of Python texts, null for any other."""
+    return F.when(lang == "Python", S.structure(text))
+
+
+def _none() -> Column:
+    return F.array().cast(_NO_ISSUES)
+
+
+def brace_issues(text: Column, lang: Column) -> Column:
+    """Nested loops and long functions of the languages with braces."""
+    # One fold for all languages that share their loop words.
+    by_words: dict[tuple[str, ...], list[str]] = {}
+    for name, words in V.LOOP_WORDS.items():
+        if name not in ("Python", "Ruby"):
+            by_words.setdefault(words, []).append(name)
+    parts = [F.when(lang.isin(*names), S.nested_loop_issues(S.brace_loops(text, words)))
+             .otherwise(_none()) for words, names in by_words.items()]
+    parts.append(F.when(lang.isin("JavaScript", "TypeScript"), S.brace_function_issues(text))
+                 .otherwise(_none()))
+    return F.concat(*parts)
+
+
 def issue_array(text: Column, lang: Column, rules: Sequence[V.Rule] = V.ISSUE_RULES,
                 style: LC.CommentStyle = LC.ADVANCED_STYLE, long_limit: int = V.LONG_LINE_CHARS,
-                with_structure: bool = True) -> Column:
+                structure: Column | None = None) -> Column:
     """array<issue>: everything one document shows by itself."""
-    parts = [R.rule_issues(text, rules, lang), L.long_line_issues(text, long_limit),
-             L.commented_code_issues(text, lang, style)]
-    if with_structure:
-        none = F.array().cast(_NO_ISSUES)
-        each = F.when(lang == "Python", S.structure_issues(text))
-        # One fold for all languages that share their loop words.
-        by_words: dict[tuple[str, ...], list[str]] = {}
-        for name, words in V.LOOP_WORDS.items():
-            if name not in ("Python", "Ruby"):
-                by_words.setdefault(words, []).append(name)
-        for words, names in by_words.items():
-            each = each.when(lang.isin(*names), S.nested_loop_issues(S.brace_loops(text, words)))
-        functions = F.when(lang.isin("JavaScript", "TypeScript"), S.brace_function_issues(text))
-        parts += [each.otherwise(none), functions.otherwise(none)]
-    return F.concat(*parts)
+    def of_structure(st: Column) -> Column:
+        return F.when(st.isNotNull(), S.structure_issues(st)).otherwise(_none())
+
+    return F.concat(
+        R.rule_issues(text, rules, lang), L.long_line_issues(text, long_limit),
+        L.commented_code_issues(text, lang, style),
+        TX.let(python_structure(text, lang), of_structure) if structure is None
+        else of_structure(structure),
+        brace_issues(text, lang))
 
 
 def document_issues(docs: DataFrame, lang: Column, id_cols: Sequence[str] = ("doc_id",),
@@ -100,9 +117,6 @@ def quality_facts(docs: DataFrame, lang: Column, keys: Sequence[str] = (),
                   long_limit: int = V.LONG_LINE_CHARS) -> DataFrame:
     """One row of numbers per document: size, comments, issues, hours, functions."""
     text = F.col(text_col)
-    functions = F.when(lang == "Python", S.structure(text)["functions"]).otherwise(
-        F.array().cast(_FUNCTIONS))
-
     def total(items: Column, field: str) -> Column:
         return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, f: a + f[field])
 
@@ -119,9 +133,13 @@ def quality_facts(docs: DataFrame, lang: Column, keys: Sequence[str] = (),
             total(fs, "complexity").alias("complexity"), total(fs, "lines").alias("function_lines"),
             total(fs, "params").alias("params"))
 
+    def functions(st: Column) -> Column:
+        return F.coalesce(st["functions"], F.array().cast(_FUNCTIONS))
+
     facts = TX.let(TX.lines(text), lambda ls: TX.let(
-        issue_array(text, lang, rules, style, long_limit),
-        lambda issues: TX.let(functions, lambda fs: measure(ls, issues, fs))))
+        python_structure(text, lang), lambda st: TX.let(
+            issue_array(text, lang, rules, style, long_limit, st),
+            lambda issues: measure(ls, issues, functions(st)))))
     return docs.select(*keys, TX.one_row(facts))
 
 

@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusqa import values as V
 from corpusqa.functions.linecodes import _any
-from corpusqa.functions.locate import hit_lines, matches
+from corpusqa.functions.locate import SENTINEL, hit_lines, mark, matches, unmarked
 from corpusqa.functions.patterns import java
-from corpusqa.operators.lines import issue
-from corpusqa.schemas import ISSUE
-
-_NO_ISSUES = f"array<{ISSUE.simpleString()}>"
+from corpusqa.functions.text import let
 
 
 def applies(rule: V.Rule, lang: Column | None) -> Column:
@@ -38,21 +35,25 @@ def rule_issues(text: Column, rules: Sequence[V.Rule], lang: Column | None = Non
                 with_context: bool = True) -> Column:
     """array<issue>: one entry per match, all rules in one expression.
 
-    The gate and the needles come first, so the regex only runs where it can hit.
+    The gate and the needles come first, so a regex only runs where it can hit,
+    and only a text it did hit is split into lines.
     """
-    def found(rule: V.Rule) -> Column:
-        per_line = F.transform(
-            hit_lines(text, compiled(rule)),
-            lambda h: F.array_repeat(
-                issue(rule.category, rule.name, rule.description, rule.severity,
-                      h["line"], h["context"] if with_context else None),
-                h["n"],
-            ),
-        )
-        return F.when(_worth_trying(rule, text, lang), F.flatten(per_line)).otherwise(
-            F.array().cast(_NO_ISSUES))
-
-    return F.concat(*[found(r) for r in rules])
+    def tagged(rule: V.Rule, clean: Column) -> Column:
+        return F.struct(
+            F.lit(rule.category).alias("category"), F.lit(rule.name).alias("type"),
+            F.lit(rule.description).alias("description"), F.lit(rule.severity).alias("severity"),
+            F.when(_worth_trying(rule, clean, lang), mark(clean, compiled(rule))).alias("marked"))
+
+    def issues_of(t: Column) -> Column:
+        return F.flatten(F.transform(hit_lines(t["marked"]), lambda h: F.array_repeat(
+            F.struct(*[t[c].alias(c) for c in ("category", "type", "description", "severity")],
+                     h["line"].alias("line"),
+                     (h["context"] if with_context else F.lit(None).cast("string")).alias("context")),
+            h["n"])))
+
+    marked = let(unmarked(text), lambda clean: F.array(*[tagged(r, clean) for r in rules]))
+    hit = F.filter(marked, lambda t: t["marked"].contains(SENTINEL))
+    return F.flatten(F.transform(hit, issues_of))
 
 
 def rule_scan(docs: DataFrame, rules: Sequence[V.Rule], id_cols: Sequence[str] = ("doc_id",),

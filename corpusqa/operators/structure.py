@@ -182,29 +182,26 @@ def deep_nesting(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",),
     return docs.select(*id_cols, F.inline(structure(F.col(text_col))["nesting"]))
 
 
-def structure_issues(text: Column) -> Column:
-    """array<issue> of the function and nesting smells and of nested loops."""
-    def read(s: Column) -> Column:
-        def smell(name: str, wanted, message: str, field: str) -> Column:
-            return F.transform(F.filter(s["functions"], wanted), lambda f: issue(
-                V.CODE_SMELLS, name, F.format_string(message, f["name"], f[field]),
-                "medium", f["line"]))
-
-        return F.concat(
-            smell("too_many_parameters", lambda f: f["params"] > V.MAX_PARAMETERS,
-                  "Function '%s' has %d parameters", "params"),
-            smell("long_function", lambda f: f["lines"] > V.MAX_FUNCTION_LINES,
-                  "Function '%s' is approx. %d lines long", "lines"),
-            smell("high_complexity", lambda f: f["complexity"] > V.MAX_COMPLEXITY,
-                  "Function '%s' has high cyclomatic complexity (%d)", "complexity"),
-            F.transform(s["nesting"], lambda n: issue(
-                V.CODE_SMELLS, "deep_nesting",
-                F.format_string("Deep nesting (level %d) in function '%s'", n["level"], n["name"]),
-                "high", n["line"])),
-            nested_loop_issues(s["loops"]),
-        )
-
-    return TX.let(structure(text), read)
+def structure_issues(s: Column) -> Column:
+    """array<issue> of a ``structure`` struct: function and nesting smells, nested loops."""
+    def smell(name: str, field: str, limit: int, message: str) -> Column:
+        return F.transform(F.filter(s["functions"], lambda f: f[field] > limit), lambda f: issue(
+            V.CODE_SMELLS, name, F.format_string(message, f["name"], f[field]),
+            "medium", f["line"]))
+
+    return F.concat(
+        smell("too_many_parameters", "params", V.MAX_PARAMETERS,
+              "Function '%s' has %d parameters"),
+        smell("long_function", "lines", V.MAX_FUNCTION_LINES,
+              "Function '%s' is approx. %d lines long"),
+        smell("high_complexity", "complexity", V.MAX_COMPLEXITY,
+              "Function '%s' has high cyclomatic complexity (%d)"),
+        F.transform(s["nesting"], lambda n: issue(
+            V.CODE_SMELLS, "deep_nesting",
+            F.format_string("Deep nesting (level %d) in function '%s'", n["level"], n["name"]),
+            "high", n["line"])),
+        nested_loop_issues(s["loops"]),
+    )
 
 
 def nested_loop_issues(loops: Column) -> Column:
