@@ -32,17 +32,17 @@ def _none() -> Column:
 
 
 def brace_issues(text: Column, lang: Column) -> Column:
-    """Nested loops and long functions of the languages with braces."""
-    # One fold for all languages that share their loop words.
-    by_words: dict[tuple[str, ...], list[str]] = {}
-    for name, words in V.LOOP_WORDS.items():
-        if name not in ("Python", "Ruby"):
-            by_words.setdefault(words, []).append(name)
-    parts = [F.when(lang.isin(*names), S.nested_loop_issues(S.brace_loops(text, words)))
-             .otherwise(_none()) for words, names in by_words.items()]
-    parts.append(F.when(lang.isin("JavaScript", "TypeScript"), S.brace_function_issues(text))
-                 .otherwise(_none()))
-    return F.concat(*parts)
+    """Nested loops, and for JavaScript long functions, of languages with braces."""
+    braced = [name for name in V.FINE_LANGUAGES if name in V.LINE_MARKERS
+              and name not in ("Python", "Ruby")] + ["TypeScript", "C/C++"]
+
+    def read(st: Column) -> Column:
+        return F.concat(
+            S.nested_loop_issues(st["loops"]),
+            F.when(lang.isin("JavaScript", "TypeScript"), S.brace_function_issues(st))
+            .otherwise(_none()))
+
+    return F.when(lang.isin(*braced), TX.let(S.brace_structure(text, lang), read)).otherwise(_none())
 
 
 def issue_array(text: Column, lang: Column, rules: Sequence[V.Rule] = V.ISSUE_RULES,

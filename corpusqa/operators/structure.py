@@ -220,10 +220,37 @@ _BRACE_ENTRY = ("struct<head:string,line:int,depth:int,paren:int,open:boolean,in
 _BRACE_BLOCK = "struct<head:string,line:int,end_line:int>"
 
 
-def _brace_fold(text: Column, header: str) -> Column:
-    """struct<blocks, loops>: blocks that follow a header, and headers inside others."""
-    parts = F.regexp_extract_all(
-        blank_braces(text), F.lit(rf"{header}|[\n{{}};()]"), F.lit(0))
+_LOOP_HEADS = sorted({w for words in V.LOOP_WORDS.values() for w in words})
+
+
+def _loop_words(words: Sequence[str]) -> str:
+    return f"{BEFORE_WORD}(?:{'|'.join(words)}){AFTER_WORD}"
+
+
+def _brace_tokens(text: Column, lang: Column, functions: str) -> Column:
+    """Loop words, function heads and punctuation of a blanked text, in order."""
+    def extract(words: Sequence[str]) -> Column:
+        return F.regexp_extract_all(
+            blanked, F.lit(rf"{functions}|{_loop_words(words)}|[\n{{}};()]"), F.lit(0))
+
+    blanked = blank_braces(text)
+    tokens = extract(V.DEFAULT_LOOP_WORDS)
+    by_words: dict[tuple[str, ...], list[str]] = {}
+    for name, words in V.LOOP_WORDS.items():
+        by_words.setdefault(words, []).append(name)
+    for words, names in by_words.items():
+        if words != V.DEFAULT_LOOP_WORDS:
+            tokens = F.when(lang.isin(*names), extract(words)).otherwise(tokens)
+    return tokens
+
+
+def brace_structure(text: Column, lang: Column) -> Column:
+    """struct<blocks, loops>: function blocks, and loops that hold a loop."""
+    parts = _brace_tokens(text, lang, _JS_FUNCTION)
+
+    def is_loop(head: Column) -> Column:
+        return head.isin(*_LOOP_HEADS)
+
     start = F.struct(
         F.lit(1).alias("line"), F.lit(0).alias("depth"), F.lit(0).alias("paren"),
         _empty(_BRACE_ENTRY).alias("stack"), _empty(_BRACE_BLOCK).alias("blocks"),
@@ -248,21 +275,21 @@ def _brace_fold(text: Column, header: str) -> Column:
             a, depth=depth,
             stack=F.filter(a["stack"], lambda e: F.when(
                 e["open"], e["depth"] < depth).otherwise(e["depth"] <= depth)),
-            blocks=F.when(F.size(ended) > 0, F.concat(a["blocks"], F.transform(
-                ended, lambda e: F.struct(e["head"].alias("head"), e["line"].alias("line"),
-                                          a["line"].alias("end_line"))))
-                          ).otherwise(a["blocks"]))
+            blocks=F.concat(a["blocks"], F.transform(
+                F.filter(ended, lambda e: ~is_loop(e["head"])),
+                lambda e: F.struct(e["head"].alias("head"), e["line"].alias("line"),
+                                   a["line"].alias("end_line")))))
 
     def on_header(a, t):
-        inside = F.filter(a["stack"], lambda e: ~e["inner"])
+        inside = F.filter(a["stack"], lambda e: is_loop(t) & is_loop(e["head"]) & ~e["inner"])
         new = F.struct(t.alias("head"), a["line"].alias("line"), a["depth"].alias("depth"),
                        a["paren"].alias("paren"), F.lit(False).alias("open"),
                        F.lit(False).alias("inner"))
         return state(
             a,
             line=a["line"] + F.length(F.regexp_replace(t, r"[^\n]+", "")),
-            stack=F.concat(F.transform(a["stack"], lambda e: entry(e, inner=F.lit(True))),
-                           F.array(new)),
+            stack=F.concat(F.transform(a["stack"], lambda e: entry(
+                e, inner=e["inner"] | is_loop(t))), F.array(new)),
             loops=F.concat(a["loops"], F.transform(inside, lambda e: F.struct(
                 e["line"].alias("line"), a["line"].alias("inner_line")))))
 
@@ -282,21 +309,16 @@ def _brace_fold(text: Column, header: str) -> Column:
         a["blocks"].alias("blocks"), a["loops"].alias("loops")))
 
 
-def brace_loops(text: Column, words: Sequence[str] = V.LOOP_WORDS["JavaScript"]) -> Column:
-    """array<struct<line, inner_line>>: loops that hold a loop, brace languages."""
-    return _brace_fold(text, f"{BEFORE_WORD}(?:{'|'.join(words)}){AFTER_WORD}")["loops"]
-
-
-def brace_functions(text: Column) -> Column:
+def brace_functions(structure: Column) -> Column:
     """array<struct<name, line, end_line, lines>> of braced function definitions."""
     name = java(r"(?:function\s+|const\s+)?(\w+)")
-    return F.transform(_brace_fold(text, _JS_FUNCTION)["blocks"], lambda b: F.struct(
+    return F.transform(structure["blocks"], lambda b: F.struct(
         F.regexp_extract(b["head"], f"^{name}", 1).alias("name"), b["line"].alias("line"),
         b["end_line"].alias("end_line"), (b["end_line"] - b["line"]).alias("lines")))
 
 
-def brace_function_issues(text: Column) -> Column:
-    long = F.filter(brace_functions(text), lambda f: f["lines"] > V.MAX_FUNCTION_LINES)
+def brace_function_issues(structure: Column) -> Column:
+    long = F.filter(brace_functions(structure), lambda f: f["lines"] > V.MAX_FUNCTION_LINES)
     return F.transform(long, lambda f: issue(
         V.CODE_SMELLS, "long_function",
         F.format_string("Function '%s' is %d lines long", f["name"], f["lines"]),

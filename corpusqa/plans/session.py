@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Call sites of single column expressions are of no use here, and slow to record.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
