@@ -2,7 +2,8 @@
 
 A sentinel is written in front of every match and the marked text is split into
 lines; the sentinels on a line are the matches that start there.  That is linear
-in the text, also for patterns that run over a line end.
+in the text, also for patterns that run over a line end.  The pattern itself runs
+once; what is read back afterwards is found by the sentinel.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import Column, functions as F
 from corpusqa.functions.text import let, lines, strip
 
 SENTINEL = "\u0001"
-STAND_IN = "\u0002"
+END = "\u0002"
+STAND_IN = "\u0003"
 
 
 def unmarked(text: Column) -> Column:
     """The text without the sentinel, ready to be marked."""
-    return F.translate(text, SENTINEL, STAND_IN)
+    return F.translate(text, SENTINEL + END, STAND_IN * 2)
 
 
 def mark(clean: Column, pattern: str) -> Column:
@@ -44,19 +46,14 @@ def hit_lines(marked: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<line:int, text:string>>: every match with its first line.
-
-    ``pattern`` is wrapped in a group, so a backreference in it counts one up.
-    """
-    starts = F.flatten(F.transform(
-        _hit_rows(mark(unmarked(text), pattern)),
-        lambda h: F.array_repeat(h["line"], _count(h["raw"])),
-    ))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(starts, lambda ss: F.transform(
-        found,
-        lambda m, i: F.struct(F.element_at(ss, i + 1).alias("line"), m.alias("text")),
-    ))
+    """array<struct<line:int, text:string>>: every match with its first line."""
+    def read(marked: Column) -> Column:
+        starts = F.flatten(F.transform(
+            _hit_rows(marked), lambda h: F.array_repeat(h["line"], _count(h["raw"]))))
+        found = F.regexp_extract_all(marked, F.lit(f"{SENTINEL}([^{END}]*+)"), F.lit(1))
+        return F.zip_with(starts, found, lambda n, m: F.struct(n.alias("line"), m.alias("text")))
+
+    return let(F.regexp_replace(unmarked(text), pattern, SENTINEL + "$0" + END), read)
 
 
 def positions(codes: Column, char: str) -> Column:

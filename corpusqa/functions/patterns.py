@@ -43,7 +43,13 @@ def java(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
                 out.append(f"[^{_CLASSES[e.lower()]}]")
             elif e == "b" and not in_class:
                 opening = not out or out[-1] in ("(", "|", "(?:")
-                out.append(BEFORE_WORD if opening else AFTER_WORD)
+                first = pattern[i + 2:i + 3]
+                if opening and first.isascii() and first.isalpha():
+                    # Try the letter before the boundary: it fails sooner.
+                    out.append(f"{first}(?<![{WORD}]{first})")
+                    i += 1
+                else:
+                    out.append(BEFORE_WORD if opening else AFTER_WORD)
             else:
                 out.append(c + e)
             i += 2

@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from corpusqa.functions.patterns import SPACE, SPACE_CHARS
 
-# Characters Python's splitlines() breaks on, CR LF first.
-BREAKS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# Breaks of Python's splitlines() other than a plain newline; CR LF is one break.
+BREAKS = r"[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}](?:(?<=\r)\n)?"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,9 +43,13 @@ def lines(text: Column) -> Column:
 
 def splitlines(text: Column) -> Column:
     """Lines by every Unicode line break; no empty line after a final break."""
-    unix = F.regexp_replace(text, BREAKS, "\n")
-    body = F.regexp_replace(unix, r"\n\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+    def cut(unix: Column) -> Column:
+        body = F.when(unix.endswith("\n"), F.substr(unix, F.lit(1), F.length(unix) - 1)
+                      ).otherwise(unix)
+        return F.when(unix != "", F.split(body, "\n", -1)).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(text, BREAKS, "\n"), cut)
 
 
 def numbered(items: Column, name: str = "text") -> Column:

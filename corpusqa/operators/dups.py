@@ -55,20 +55,34 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lang = F.lit("") if lang is None else lang
 
+    # Lengths, words and letters of a block follow from those of its lines, so
+    # the text is measured once, not once per window that covers it.
+    def measured(clean: Column) -> Column:
+        return F.transform(clean, lambda x: F.struct(
+            x["line"].alias("line"), x["text"].alias("text"),
+            F.length(x["text"]).alias("chars"), word_count(x["text"]).alias("words"),
+            x["text"].rlike(_LETTERS).alias("letters")))
+
+    def total(part: Column, field: str) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x[field])
+
     def slide(clean: Column) -> Column:
         starts = F.when(F.size(clean) >= size,
                         F.sequence(F.lit(1), F.size(clean) - (size - 1)))
-        blocks = F.transform(starts, lambda i: F.struct(
-            i.alias("clean_start"), F.element_at(clean, i)["line"].alias("line"),
-            block_at(clean, i, size).alias("block")))
-        useful = F.filter(blocks, lambda b: (F.length(b["block"]) >= min_chars)
-                          & b["block"].rlike(_LETTERS))
-        found = F.transform(useful, lambda b: F.struct(
-            digest(b["block"]).alias("key"), b["clean_start"].alias("clean_start"),
-            b["line"].alias("line"), word_count(b["block"]).alias("tokens")))
+        parts = F.filter(
+            F.transform(starts, lambda i: F.struct(
+                i.alias("clean_start"), F.slice(clean, i, size).alias("part"))),
+            lambda w: (total(w["part"], "chars") + (size - 1) >= min_chars)
+            & F.exists(w["part"], lambda x: x["letters"]))
+        found = F.transform(parts, lambda w: F.struct(
+            digest(F.array_join(F.transform(w["part"], lambda x: x["text"]), "\n")).alias("key"),
+            w["clean_start"].alias("clean_start"),
+            F.element_at(w["part"], 1)["line"].alias("line"),
+            total(w["part"], "words").alias("tokens")))
         return _first_per_key(found) if first_only else found
 
-    return docs.select(id_col, F.inline(TX.let(clean_lines(F.col(text_col), lang, style), slide)))
+    return docs.select(id_col, F.inline(TX.let(
+        measured(clean_lines(F.col(text_col), lang, style)), slide)))
 
 
 def _first_per_key(found: Column) -> Column:

@@ -138,7 +138,10 @@ def file_metrics(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: s
 
 def code_like(line: Column) -> Column:
     """Does a comment line hold something that looks like code?"""
-    return reduce(lambda a, b: a | b, [line.rlike(java(p)) for p in V.CODE_INDICATORS])
+    plain = [p.lstrip("\\") for p in V.CODE_INDICATORS if len(p.lstrip("\\")) == 1]
+    rest = [java(p) for p in V.CODE_INDICATORS if len(p.lstrip("\\")) > 1]
+    tests = [line.contains(c) for c in plain] + [line.rlike("|".join(rest))]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def islands(codes: Column) -> Column:
