@@ -112,13 +112,15 @@ def wildcard_count(text: Column, words: Sequence[str] = V.WILDCARD_WORDS) -> Col
 
 
 def _wildcard_pattern(word: str) -> str:
-    first, rest = word[0], _collapse(word)[1:]
-    body = java(r"\w*+".join(literal(part) for part in rest.split("*")))
-    if first == "*":
-        return f"(?iu){BEFORE_WORD}{java(r'\w*+')}{body.removeprefix(java(r'\w*+'))}{AFTER_WORD}"
+    word = _collapse(word)
+    if word == "*":
+        return WORD_RUN
+    body = java(r"\w*".join(literal(part) for part in word.split("*")))
+    if word.startswith("*"):
+        return f"(?iu){BEFORE_WORD}{body}{AFTER_WORD}"
     # The first letter is tried before the word boundary: it fails sooner.
-    start = literal(first)
-    return f"(?iu){start}(?<![{WORD}]{start}){body}{AFTER_WORD}"
+    start = literal(word[0])
+    return f"(?iu){start}(?<![{WORD}]{start}){body[len(start):]}{AFTER_WORD}"
 
 
 def _collapse(word: str) -> str:

@@ -1 +1 @@
-
+"""The per-document operators on a stream of documents."""

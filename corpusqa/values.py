@@ -69,7 +69,7 @@ SECURITY_RULES = (
          r".*(?:execute|query|run).*\+.*|.*(?:execute|query|run).*\$\{",
          ("python", "javascript", "php", "ruby"), ("execute", "query", "run"),
          # One hit per line: first keyword, then the first + or ${ after it.
-         fast=r"(?m)^(?>[^\n]*?(?:execute|query|run))[^+$\n]*+(?:\$(?!\{)[^+$\n]*+)*+(?:\+|\$\{)"),
+         fast=r"(?md)^(?>[^\n]*?(?:execute|query|run))[^+$\n]*+(?:\$(?!\{)[^+$\n]*+)*+(?:\+|\$\{)"),
     Rule("xss", SECURITY, "critical", "Potential Cross-Site Scripting (XSS) vulnerabilities",
          r"innerHTML\s*=|document\.write\s*\(",
          ("javascript", "html"), ("innerHTML", "document.write")),
