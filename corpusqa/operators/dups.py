@@ -1,7 +1,7 @@
 """Duplicate blocks: equal windows of clean lines, anywhere in the corpus.
 
-Only a 16-byte digest, a location and two integers per window are ever shuffled;
-the text of a block is fetched once per block, for the blocks that are kept.  A
+Only a 16-byte digest and a location per window are ever shuffled; the text of a
+block is fetched once per block, for the blocks that are kept.  A
 block copied into a third of the corpus is one partial-aggregate row per map
 task.  Locations are rows, not a list in one cell, so no group has to fit
 anywhere.
@@ -9,9 +9,8 @@ anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusqa import values as V
 from corpusqa.functions import linecodes as LC, text as TX
@@ -49,22 +48,22 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lang: Column | None = None, style: LC.CommentStyle = LC.DUPLICATE_STYLE,
             size: int = V.WINDOW_LINES, min_chars: int = V.WINDOW_MIN_CHARS,
             first_only: bool = False) -> DataFrame:
-    """One row per sliding window: id, clean_start, line, key, tokens.  No shuffle.
+    """One row per sliding window: id, key, clean_start, line.  No shuffle.
 
     ``first_only`` keeps each key's first window of a document.
     """
     lang = F.lit("") if lang is None else lang
 
-    # Lengths, words and letters of a block follow from those of its lines, so
-    # the text is measured once, not once per window that covers it.
+    # Length and letters of a block follow from those of its lines, so the text
+    # is measured once, not once per window that covers it.
     def measured(clean: Column) -> Column:
         return F.transform(clean, lambda x: F.struct(
             x["line"].alias("line"), x["text"].alias("text"),
-            F.length(x["text"]).alias("chars"), word_count(x["text"]).alias("words"),
+            F.length(x["text"]).alias("chars"),
             x["text"].rlike(_LETTERS).alias("letters")))
 
-    def total(part: Column, field: str) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x[field])
+    def chars(part: Column) -> Column:
+        return F.aggregate(part, F.lit(size - 1), lambda a, x: a + x["chars"])
 
     def slide(clean: Column) -> Column:
         starts = F.when(F.size(clean) >= size,
@@ -72,13 +71,12 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = F.filter(
             F.transform(starts, lambda i: F.struct(
                 i.alias("clean_start"), F.slice(clean, i, size).alias("part"))),
-            lambda w: (total(w["part"], "chars") + (size - 1) >= min_chars)
+            lambda w: (chars(w["part"]) >= min_chars)
             & F.exists(w["part"], lambda x: x["letters"]))
         found = F.transform(parts, lambda w: F.struct(
             digest(F.array_join(F.transform(w["part"], lambda x: x["text"]), "\n")).alias("key"),
             w["clean_start"].alias("clean_start"),
-            F.element_at(w["part"], 1)["line"].alias("line"),
-            total(w["part"], "words").alias("tokens")))
+            F.element_at(w["part"], 1)["line"].alias("line")))
         return _first_per_key(found) if first_only else found
 
     return docs.select(id_col, F.inline(TX.let(
@@ -91,18 +89,25 @@ def _first_per_key(found: Column) -> Column:
         | (F.element_at(ws, F.greatest(i, F.lit(1)))["key"] != w["key"])))
 
 
+def _sample_id(df: DataFrame, id_col: str) -> Column:
+    """A fixed-width stand-in for the id, so that its minimum has a flat buffer."""
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        return F.col(id_col).cast("bigint")
+    return F.xxhash64(id_col)
+
+
 def duplicate_keys(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Blocks seen more than once: key, n_locations, tokens and one place to read it.
+    """Blocks seen more than once: key, n_locations and one place to read it.
 
     All buffers are fixed-width, so this is one hash aggregate with a map-side
     half, whatever the skew.
     """
-    return (found.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_locations"),
-        F.max("tokens").alias("tokens"),
-        F.min(id_col).alias("sample_id"),
-        F.min_by("clean_start", id_col).alias("sample_start"),
-    ).filter(F.col("n_locations") > 1))
+    return (found.select("key", "clean_start", _sample_id(found, id_col).alias("sample_id"))
+            .groupBy("key").agg(
+                F.count(F.lit(1)).alias("n_locations"),
+                F.min("sample_id").alias("sample_id"),
+                F.min_by("clean_start", "sample_id").alias("sample_start"))
+            .filter(F.col("n_locations") > 1))
 
 
 def duplicate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -114,21 +119,25 @@ def duplicate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = duplicate_keys(windows(docs, id_col, text_col, lang, style, size, min_chars), id_col)
     # Samples of one document travel together; a document has at most one window
     # per line, so this list is bounded by the document itself.
-    wanted = keys.groupBy(F.col("sample_id")).agg(
-        F.collect_list(F.struct("key", "n_locations", "tokens", "sample_start")).alias("wanted"))
+    wanted = keys.groupBy("sample_id").agg(
+        F.collect_list(F.struct("key", "n_locations", "sample_start")).alias("wanted"))
     lang_value = F.lit("") if lang is None else lang
-    texts = docs.select(F.col(id_col).alias("sample_id"), lang_value.alias("_lang"),
+    texts = docs.select(_sample_id(docs, id_col).alias("sample_id"), lang_value.alias("_lang"),
                         F.col(text_col).alias("_text"))
 
     def read(clean: Column) -> Column:
-        return F.transform(F.col("wanted"), lambda w: F.struct(
-            w["key"].alias("key"), F.lit(size).alias("lines"), w["tokens"].alias("tokens"),
-            w["n_locations"].alias("n_locations"),
-            TX.clip(block_at(clean, w["sample_start"], size), snippet_chars).alias("code_snippet")))
-
-    return (texts.join(wanted, "sample_id")
-            .select(F.inline(TX.let(clean_lines(F.col("_text"), F.col("_lang"), style), read)))
-            .withColumn("key", F.lower(F.hex("key"))))
+        blocks = F.transform(F.col("wanted"), lambda w: F.struct(
+            w["key"].alias("key"), w["n_locations"].alias("n_locations"),
+            block_at(clean, w["sample_start"], size).alias("block")))
+        # A stand-in may belong to two documents: only the right one has the text.
+        right = F.filter(blocks, lambda b: digest(b["block"]) == b["key"])
+        return F.transform(right, lambda b: F.struct(
+            F.lower(F.hex(b["key"])).alias("key"), F.lit(size).alias("lines"),
+            word_count(b["block"]).alias("tokens"), b["n_locations"].alias("n_locations"),
+            TX.clip(b["block"], snippet_chars).alias("code_snippet")))
+
+    return texts.join(wanted, "sample_id").select(
+        F.inline(TX.let(clean_lines(F.col("_text"), F.col("_lang"), style), read)))
 
 
 def duplicate_locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -283,10 +283,13 @@ def persona() -> Column:
     )
 
 
-def persona_groups(facts: DataFrame) -> DataFrame:
-    """Documents per persona.  The members are the rows of ``facts`` themselves."""
+def persona_groups(facts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents per persona, and one of them.
+
+    The members are the rows of ``facts`` themselves; they are not collected.
+    """
     return facts.filter(F.col("persona").isNotNull()).groupBy("persona").agg(
-        F.count(F.lit(1)).alias("n_files"))
+        F.count(F.lit(1)).alias("n_files"), F.min(id_col).alias("example"))
 
 
 def corpus_score(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

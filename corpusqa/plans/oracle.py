@@ -495,8 +495,8 @@ UNION ALL SELECT 10, 'Duplicated code blocks', duplicated_code_blocks::VARCHAR F
         "style_metrics": f"""WITH {style_cte()} SELECT doc_id, loc, comment_lines, {_r6('density', 'avg_len')} FROM st""",
         "file_persona": f"""WITH {style_cte()} SELECT doc_id, loc, comment_lines, {_r6('density', 'avg_len')},
   snake, camel, pascal, screaming, todo, fixme, hack, xxx, note, simple_hits, words, "references", persona FROM st""",
-        "persona_groups": f"""WITH {style_cte()} SELECT persona, CAST(count(*) AS BIGINT) AS n_files FROM st
-  GROUP BY persona""",
+        "persona_groups": f"""WITH {style_cte()} SELECT persona, CAST(count(*) AS BIGINT) AS n_files,
+  min(doc_id) AS example FROM st GROUP BY persona""",
         "corpus_score": f"""WITH {style_cte()}, a AS (SELECT source, 50 + sum(CASE WHEN "references" > 0 THEN 2 ELSE 0 END
   - 3 * simple_hits + words + (todo + note) * 0.5 - fixme + hack + CASE persona
   WHEN '{V.PERSONA_CYNICAL}' THEN 2 WHEN '{V.PERSONA_METHODICAL}' THEN 3 WHEN '{V.PERSONA_ANXIOUS}' THEN -1

@@ -79,7 +79,7 @@ def lexicon_pass(corpus: DataFrame, id_col: str = "doc_id") -> dict[str, DataFra
         "markers": markers,
         "marker_totals": X.marker_totals(markers),
         "personas": facts.select(id_col, "persona"),
-        "persona_groups": M.persona_groups(facts),
+        "persona_groups": M.persona_groups(facts, id_col),
         "score": M.corpus_score(facts),
     }
 

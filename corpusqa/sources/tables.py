@@ -21,7 +21,8 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if len(df.inputFiles()) < cores and size <= cores * split:
+    # The size comes first: the file list of a large corpus is never asked for.
+    if size <= cores * split and len(df.inputFiles()) < cores:
         return df.repartition(cores)
     return df
 
