@@ -440,8 +440,8 @@ REGISTERED: tuple[Query, ...] = (
 )
 
 
-def registry() -> dict[str, Query]:
+def registry(more: tuple[Query, ...] = ()) -> dict[str, Query]:
     def typed(query: Query) -> Query:
         return lambda spark, folder: exact(query(spark, folder))
 
-    return {q.__name__: typed(q) for q in REGISTERED}
+    return {q.__name__: typed(q) for q in (*REGISTERED, *more)}
