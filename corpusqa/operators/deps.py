@@ -10,6 +10,7 @@ from corpusqa.functions import text as TX
 from corpusqa.functions.blanking import blank_python
 from corpusqa.functions.patterns import AFTER_WORD, WORD, java
 from corpusqa.operators import paths as P
+from corpusqa.operators.skew import attach
 
 _MODULE = f"[{WORD}.]"
 
@@ -98,19 +99,21 @@ def link_graph(files: DataFrame, deps: DataFrame, path: str = "path", root: str
 
     A module is the file ``<module><suffix>``, or else ``<module><package>``, of
     the corpus.  Modules are resolved once each, not once per import, so a
-    module that everything imports costs one lookup; the join back is long only
-    on the side that adaptive execution can split.  Files that import nothing are
-    nodes too.
+    module that everything imports costs one lookup, and the imports get the
+    answer back by the skew-safe join.  Files that import nothing are nodes too.
     """
     paths = files.select(F.col(path).alias("to_path")).distinct()
     wanted = deps.select(F.col(path).alias("from_path"),
                          _base_path(F.col(path), F.col("module"), root).alias("base"))
-    bases = wanted.select("base").distinct()
+    bases = wanted.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
     candidates = bases.select("base", F.explode(F.array(
         F.struct(F.lit(1).alias("rank"), F.concat("base", F.lit(suffix)).alias("to_path")),
         F.struct(F.lit(2).alias("rank"), F.concat("base", F.lit(package)).alias("to_path")),
     )).alias("c")).select("base", "c.rank", "c.to_path")
     resolved = (candidates.join(paths, "to_path").groupBy("base")
                 .agg(F.min_by("to_path", "rank").alias("to_path")))
-    return (wanted.join(resolved, "base").filter(F.col("from_path") != F.col("to_path"))
+    # Modules of no file stay in, without a path: such a module may be the hot one.
+    facts = bases.join(resolved, "base", "left")
+    return (attach(wanted, facts, "base", "n", ["from_path"])
+            .filter(F.col("from_path") != F.col("to_path"))
             .select("from_path", "to_path").distinct())

@@ -16,6 +16,7 @@ from corpusqa import values as V
 from corpusqa.functions import linecodes as LC, text as TX
 from corpusqa.functions.patterns import DIGIT, WORD
 from corpusqa.operators.lexicon import word_count
+from corpusqa.operators.skew import attach
 
 # Three word characters in a row that are not digits.
 _LETTERS = f"[{WORD}&&[^{DIGIT}]]{{3}}"
@@ -145,14 +146,10 @@ def duplicate_locations(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         style: LC.CommentStyle = LC.DUPLICATE_STYLE,
                         size: int = V.WINDOW_LINES,
                         min_chars: int = V.WINDOW_MIN_CHARS) -> DataFrame:
-    """Every location of every duplicated block, one row each.
-
-    The right side has one row per key, so a hot key is only long on the left,
-    where adaptive execution splits it.
-    """
+    """Every location of every duplicated block, one row each."""
     found = windows(docs, id_col, text_col, lang, style, size, min_chars)
     keys = duplicate_keys(found, id_col).select("key", "n_locations")
-    return found.join(keys, "key").select(
+    return attach(found, keys, "key", "n_locations", [id_col, "clean_start"]).select(
         F.lower(F.hex("key")).alias("key"), id_col, "clean_start",
         (F.col("clean_start") + (size - 1)).alias("clean_end"), "line", "n_locations")
 
@@ -166,7 +163,7 @@ def duplicate_smells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = windows(docs, id_col, text_col, lang, style, size, min_chars)
     keys = duplicate_keys(found, id_col).select("key", "n_locations")
     firsts = windows(docs, id_col, text_col, lang, style, size, min_chars, first_only=True)
-    hit = firsts.join(keys, "key")
+    hit = attach(firsts, keys, "key", "n_locations", [id_col, "clean_start"])
     return hit.select(
         id_col, F.lit(V.CODE_SMELLS).alias("category"), F.lit("duplicate_code").alias("type"),
         F.format_string(f"Part of duplicated code block ({size} lines) found in %d location(s)",

@@ -4,9 +4,11 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusqa.operators import dups, metrics as M
+from corpusqa.operators.skew import attach
 
 LINES = [f"statement number {i} does something useful here" for i in range(6)] + [
     "# comment", "", "   ", "x", "// c", "1234567890 1234567890 1234567890"]
@@ -88,6 +90,32 @@ def test_hot_block_stays_whole(spark):
     assert dups.duplicate_blocks(frame).agg(F.max("n_locations")).first()[0] == 1000
 
 
+@pytest.mark.parametrize("parts", [1, 3, 20, 10_000])
+def test_skew_join_is_an_inner_join(spark, parts):
+    rows = spark.range(2000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("k") % 2 == 0)
+    got = attach(rows, facts, "k", "n", ["id"], parts)
+    want = rows.join(facts, "k").select("id", "k", "n")
+    assert got.columns == want.columns
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_hot_rows_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(6000).select(
+            F.col("id"), F.when(F.col("id") < 3000, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+        facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        got = attach(rows, facts, "k", "n", ["id"], parts=10)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) < 6000 / 4 * 1.3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_only_digests_are_shuffled(spark, docs):
     keys = dups.duplicate_keys(dups.windows(docs(["a"])))
     plan = keys._jdf.queryExecution().executedPlan().toString()
