@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from corpusqa import values as V
 from corpusqa.operators import (lexicon as X, lines as L, metrics as M, rank, report, rules as R)
 
-PY = ("# TODO: get schwifty here\nimport os\n\ndef pickle():\n    # peak of science\n"
-      "    print('I am Pickle Rick!')\n    v = v # Jerry\n    if True:\n        print('no')\n"
-      "    # FIXME: maybe bad?\n    return None\n")
-JS = ("// oh, I hope\nfunction add(a, b) {\n  // basic, Morty!\n  log('x'); // NOTE: debug\n"
-      "  if (r === r) { /* sane? */ }\n  // what the f*** is this\n}\nconst x = 5; // XXX: why\n")
+PY = ("# TODO: later we get schwifty\nimport sys\n\ndef open_jar():\n    # one comment\n"
+      "    say('one pickle rick jar')\n    n = n # a jerry line\n    if True:\n        say('yes')\n"
+      "    # FIXME: check this\n    return None\n")
+JS = ("// first line\nfunction sum2(p, q) {\n  // plain, Morty!\n  say('x'); // NOTE: look\n"
+      "  if (p) { /* block */ }\n  // oh f***\n}\nlet y = 9; // XXX: why nine\n")
 
 
 def test_references(docs):
