@@ -28,7 +28,7 @@ def extension(path: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(path, r"(?<=[^/.])\.[^./]*$", "")
+    return F.substr(path, F.lit(1), F.length(path) - F.length(extension(path)))
 
 
 def relative(path: Column, root: str) -> Column:
