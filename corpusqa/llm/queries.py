@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusqa.llm import linededup, neardup, packing, quality, sharding, tokenfile, toxicity, urltree
+from corpusqa.llm import decontam, jaccard, linededup, neardup, packing, quality, sharding, tokenfile, toxicity, urltree
 from corpusqa.llm.shared import crc_of, table
 
 #: Bytes of text in a shard.
@@ -44,10 +44,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -68,7 +77,9 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_shingle_join": op5_shingle_join,
     "op6_near_vectors": op6_near_vectors,
+    "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_sharding": op10_sharding,
@@ -76,6 +87,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_line_dedup": linededup.SQL,
+    "op5_shingle_join": jaccard.sql(3, 90, 100),
     "op6_near_vectors": neardup.SQL,
     "op10_sharding": sharding.sql(SHARD_BYTES),
 }

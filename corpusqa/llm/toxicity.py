@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = (3, 1), rows
     odds = lambda k, n: math.log((k + 0.5) / (totals.get(1, 0) + 1)) - math.log((n - k + 0.5) / (totals.get(0, 0) + 1))
     lexicon = Lexicon({}, {}, [fold(e).strip() for e in exceptions])
     k, n = F.col("k"), F.col("n")
-    for z in (5.0, 3.0):  # first what is beyond doubt, then what the documents that are still unexplained need
+    for z in (5.0, 3.0, 2.0):  # first what is beyond doubt, then what the documents that are still unexplained need
         open_rows = some.where((F.col("label") == 0) | (F.col("total") == 0)) if lexicon.words or lexicon.beginnings else some
         seen = kept(open_rows.select("text", "label").mapInArrow(words_of, "word string, label int").groupBy("word").agg(
             F.sum("label").alias("k"), F.count("*").alias("n")), "vocabulary")
@@ -149,10 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] = (3, 1), rows
         starts = starts.groupBy(F.substring("word", F.lit(1), F.col("i")).alias("start")).agg(
             F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("forms"))
         starts = starts.where((wilson(k, n, z) >= 0.8) & (F.col("forms") >= 8))
-        for r in sorted(starts.collect(), key=lambda r: (len(r["start"]), r["start"])):
-            if not any(r["start"].startswith(b) for b in lexicon.beginnings):
+        found = sorted(starts.collect(), key=lambda r: (len(r["start"]), r["start"]))
+        for r in found:
+            if not any(r["start"].startswith(b) or b.startswith(r["start"]) for b in lexicon.beginnings):
+                r = [x for x in found if x["start"].startswith(r["start"]) and x["k"] >= 0.95 * r["k"]][-1]  # the longest that holds as much
                 lexicon.beginnings[r["start"]] = odds(r["k"], r["n"])
-        for r in seen.where(wilson(k, n, z) >= 0.5).collect():
+        for r in seen.where((k >= 3) & (wilson(k, n, z) >= 0.5)).collect():
             if not any(r["word"].startswith(b) for b in lexicon.beginnings):
                 lexicon.words[r["word"]] = odds(r["k"], r["n"])
         some = kept(some.select("text", "label").mapInArrow(_sums(lexicon, True), "text string, label int, total double"), "toxic-sample")
