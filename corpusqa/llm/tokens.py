@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 
 _OPEN: dict[tuple[str, str], "Encoder"] = {}
+#: A sign after one of these starts a new word for both kinds.
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Pieces longer than this are not remembered.
 _LONG = 40
 
@@ -27,7 +29,7 @@ class Encoder(dict):
     """Piece of text to its ids as little-endian unsigned 32-bit integers. It takes in new pieces up to
     ``limit``; later ones are encoded each time."""
 
-    def __init__(self, path: str, kind: str, limit: int = 500_000):
+    def __init__(self, path: str, kind: str, limit: int = 2_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -39,11 +41,25 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self._parts(piece)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) < self.limit and len(piece) <= _LONG:
             self[piece] = ids
         return ids
 
+    def _parts(self, piece: str) -> bytes | None:
+        """Ids of a piece that can be cut further, whose parts are more likely known."""
+        core = piece.rstrip(".,;:!?")
+        if core != piece:
+            return self[core] + self[piece[len(core):]] if core and core[-1] in _LETTERS else None
+        if "\n" in piece:
+            head, end, tail = piece.partition("\n")
+            return self[head] + self[end] + self[tail] if head and tail and not head[-1].isspace() and not tail[0].isspace() else None
+        if self.kind == "word" and piece.isascii() and (low := piece.lower()) != piece:
+            return self[low]
+        return None
+
     def pieces(self, text: str) -> list[str]:
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
