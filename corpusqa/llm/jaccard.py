@@ -275,7 +275,8 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
             F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"), F.count("*").alias("size"))
         dealt = members.join(load.where("size > 1"), "cluster").select(
             "doc_id", "key", "cluster", "blocks", F.pmod(F.xxhash64("key"), "blocks").alias("block"))
-        tiles = docs.join(dealt, "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        # a merge join at every size: the list of members grows with the corpus
+        tiles = docs.join(dealt.hint("merge"), "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
             "cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "key", "text")
         tile = ["cluster", "one", "other"]
         found = tiles.repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(_verify(words, num, den), "a binary, b binary")
@@ -302,7 +303,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """
     found = similar(docs, words, num, den)
     lost = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("lost")).where("lost").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_lost"), "left_anti")
 
 
 def sql(words: int, num: int, den: int) -> str:

@@ -96,7 +96,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Rows without a bitmap keep their text as it is, null included."""
     names = docs.columns
-    b = bitmaps.select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_dropped"))
+    # The bitmaps grow with the corpus, so this is a merge join at every size.
+    b = bitmaps.hint("merge").select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_dropped"))
     joined = docs.withColumn("_key", F.xxhash64("text")).join(b, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_body")), "left")
     split = lines(F.col("text"))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(_left(split, F.col("_dropped")), "\n"))
