@@ -18,30 +18,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import WordHashes, ascii_words, mix
+from corpusqa.llm.shared import mix
 
 U64 = np.uint64
 HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
+#: Words that are searched together.
+_TOGETHER = 1_000_000
 _SIGNS = b".,;:!?\"'()[]{}"
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SIGNS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_SIGNS))
 
 
-class PlainHashes(WordHashes):
-    """Hashes of words without signs around them."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.strip(_SIGNS)) or 1
-        return value
+def plain_words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space or signs, A-Z lower-cased."""
+    return text.encode("utf-8", "replace").translate(_PLAIN).split() if text else []
 
 
 def _runs(words: np.ndarray) -> np.ndarray:
@@ -72,8 +69,11 @@ class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int, str | None]], max_edits: float = 0.2, walks: int = 8, tables: int = 8, places: int = 3, seed: int = 7):
-        self.max_edits, self.known = max_edits, PlainHashes()
-        words = [(i, self.known.of(ascii_words(t))) for i, t in items]
+        self.max_edits = max_edits
+        split = [(i, plain_words(t)) for i, t in items]
+        #: Words of the items. All others are 0: they equal no word of an item.
+        self.known = {w: U64(xxhash.xxh3_64_intdigest(w) | 1) for _, ws in split for w in ws}
+        words = [(i, self._numbers(ws)) for i, ws in split]
         self.items = [(i, w) for i, w in words if len(w) > 2]
         self.edits = [int(max_edits * len(w) + 1e-9) for _, w in self.items]
         if not self.items:
@@ -97,6 +97,18 @@ class Matcher:
             order = np.argsort(signs, axis=1)
             self.classes.append((lo, hi + int(max_edits * hi), need, max(1, lo // 12), odd, at, np.take_along_axis(signs, order, 1), np.array(members)[order]))
 
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(0)), dtype=np.uint64, count=len(words))
+
+    def _hits(self, words: np.ndarray) -> np.ndarray:
+        """Places where a three-word run of an item begins."""
+        at = np.flatnonzero(words)
+        at = at[:-2][(at[2:] - at[:-2]) == 2] if len(at) > 2 else at[:0]  # three words of items in a row
+        run = mix(mix(mix(words[at]) + words[at + 1]) + words[at + 2])
+        may = self.bits[run & U64((1 << 22) - 1)]
+        at, run = at[may], run[may]
+        return at[self.runs[np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)] == run]
+
     def _sizes(self) -> list[list[int]]:
         """Items of about the same size, smallest first."""
         out: list[list[int]] = []
@@ -115,26 +127,37 @@ class Matcher:
             for j in range(int(at[r].max()) + 1):
                 word = words[place]
                 if j in wanted:
-                    seen[j] = mix(word + U64(j + 1))
+                    seen[j] = word * U64(2 * j + 3)
                 place = place + ((word * odd[r, j]) >> U64(63)).astype(np.int64)
-            out += [mix(reduce(lambda x, y: mix(x) + y, (seen[int(j)] for j in table))) for table in at[r]]
+            out += [mix(reduce(np.add, (seen[int(j)] for j in table))) for table in at[r]]
         return np.stack(out)
 
     def of(self, texts: list[str | None]) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
         if not self.items:
             return out
-        own = [self.known.of(ascii_words(t)) for t in texts]
+        least = min(c[2] for c in self.classes)
+        docs, own, size = [], [], 0
+        for k, text in enumerate(texts):
+            words = self._numbers(plain_words(text))
+            if len(words) > 2 and len(self._hits(words)) >= least:
+                docs.append(k)
+                own.append(words)
+                size += len(words) + self.pad
+                if size > _TOGETHER:
+                    self._search(docs, own, out)
+                    docs, own, size = [], [], 0
+        if docs:
+            self._search(docs, own, out)
+        return out
+
+    def _search(self, docs: list[int], own: list[np.ndarray], out: list[list[dict]]) -> None:
+        """Adds to ``out`` at ``docs`` what is found in their words."""
         gap = np.zeros(self.pad, U64)
-        words = np.concatenate([x for w in own for x in (w, gap)]) if own else gap
+        words = np.concatenate([x for w in own for x in (w, gap)])
         base = np.cumsum([0, *(len(w) + self.pad for w in own)])
-        runs = _runs(words)
-        maybe = np.flatnonzero(self.bits[runs & U64((1 << 22) - 1)])
-        if not len(maybe):
-            return out
-        place = np.minimum(np.searchsorted(self.runs, runs[maybe]), len(self.runs) - 1)
         hit = np.zeros(len(words) + 1, np.int64)
-        hit[maybe[self.runs[place] == runs[maybe]] + 1] = 1
+        hit[self._hits(words) + 1] = 1
         before = np.cumsum(hit)
         found: set[tuple[int, int]] = set()
         for _, window, need, stride, odd, at, signs, members in self.classes:
@@ -165,15 +188,14 @@ class Matcher:
                 if best is None or edits < best[0]:
                     best = (edits, start + a - base[doc], end + a - base[doc])
             if best and best[0] <= most:
-                out[doc].append({"item_id": self.items[member][0], "edits": int(best[0]), "start": int(best[1]), "end": int(best[2])})
-        return out
+                out[docs[doc]].append({"item_id": self.items[member][0], "edits": int(best[0]), "start": int(best[1]), "end": int(best[2])})
 
 
 def with_hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, block: int = 20_000) -> DataFrame:
     """``docs`` with ``hits``: for each item found, its id, the edits and the words [start, end) of the nearest passage.
 
     ``items`` has (item_id, text). It is read ``block`` items at a time; a block is all that is sent to the
-    executors at once. Words are compared without the signs around them, A-Z lower-cased. Whole texts are read.
+    executors at once. Signs read as white space, A-Z are lower-cased. Whole texts are read.
 
     Items of fewer than three words (null and empty too) or without an id: never found. Null or empty text: no
     hits. Null doc_id, repeated rows: each row by itself. Items that repeat an id are found each. Empty tables: no
@@ -193,10 +215,7 @@ def _finder(items: list[tuple[int, str | None]], max_edits: float):
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(items, max_edits)
         for series in texts:
-            found: list[list[dict]] = []
-            for at in range(0, len(series), 64):
-                found += matcher.of(series.iloc[at : at + 64].tolist())
-            yield pd.Series(found, dtype=object)
+            yield pd.Series(matcher.of(series.tolist()), dtype=object)
 
     return find
 

@@ -52,18 +52,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered; it is emptied when it has ``limit`` words."""
+    """64-bit hashes of words; the first ``limit`` different words are remembered."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 600_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.limit:
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
