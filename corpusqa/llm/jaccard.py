@@ -16,9 +16,11 @@ more, there would be ``|Z|`` such segments outside Z and more than ``H`` differe
 *Allocation by cost.* How small is small is chosen for each band from the number of documents in it: more
 signatures against more expected candidates.
 
-Equal sets are one node from the start, so copies are never compared. Rows that share a signature are chained,
-not paired; the chains' components are clusters that hold every link. Each cluster is verified exactly, in
-tiles of bounded size, and a tile returns a spanning forest of its links, never pairs.
+Equal sets are one node from the start, so copies are never compared. The sets of a signature are sifted within a
+task by parity sketches: the bits in which two sketches differ are at most the elements in which the sets do,
+so no link is lost. What passes is returned as a spanning forest, and the forests' components are clusters that hold
+every link. Each cluster is verified exactly, in tiles of bounded size, again with a forest as the result.
+Pairs are never written. (The sets of a signature that has more than ``SIFTED`` of them are chained as they are.)
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ U64 = np.uint64
 #: Sets and elements in a block; a tile has at most two blocks.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 1_000_000
 _CELLS = 1 << 23
+#: Sets of one signature that are sifted together.
+SIFTED = 2048
 
 
 def bands(longest: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -51,10 +55,12 @@ def bands(longest: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def smallness(documents: float, mean: float, overlap: float = 0.2) -> int:
+def smallness(documents: float, mean: float, overlap: float = 0.02, price: float = 0.05) -> int:
     """The part size up to which a part counts only with its neighbour: least expected signatures and candidates for
-    one set, among ``documents`` sets whose parts have ``mean`` elements and share each with ``overlap``."""
+    one set, among ``documents`` sets whose parts have ``mean`` elements and share each with ``overlap``. A candidate
+    costs ``price`` signatures, as candidates are sifted by sketch and never written as pairs."""
     share = [math.exp(-mean) * mean**c / math.factorial(c) for c in range(24)]
+    documents *= price
     near = math.exp(-mean * (1 - overlap)) * (1 + mean)  # the next parts differ by one at most
 
     def cost(most: int) -> float:
@@ -121,8 +127,48 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, key, short): size and 128-bit digest of each document's shingle set; ``short`` is half the digest."""
+def sketch(elements: np.ndarray, num: int, den: int) -> bytes:
+    """Parity of the number of elements in each cell. Cells are a power of two, at least four for each
+    difference that a link may have; half the cells are the two halves' exclusive or."""
+    most = len(elements) * (den - num) // num + 1
+    cells = 1 << max(6, (4 * most - 1).bit_length())
+    at = (mix(elements ^ U64(0xE7037ED1A0B428DB)) & U64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """All at the fewest cells among them, as rows of 64-bit words."""
+    least = min(map(len, sketches))
+    out = []
+    for raw in sketches:
+        row = np.frombuffer(raw, np.uint64)
+        while row.nbytes > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out.append(row)
+    return np.stack(out)
+
+
+def sifted(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """Smallest position of each set's component, for pairs that may link by size and sketch."""
+    rows, c = _folded(sketches), len(sizes)
+    low = np.arange(c)
+    for at in range(0, c, 128):
+        i = slice(at, at + 128)
+        differ = np.zeros((len(sizes[i]), c), np.int64)
+        for word in range(rows.shape[1]):
+            differ += np.bitwise_count(rows[i, word, None] ^ rows[None, :, word])
+        both = sizes[i, None] + sizes
+        may = (differ * (den + num) <= both * (den - num)) & (np.minimum(sizes[i, None], sizes) * den >= np.maximum(sizes[i, None], sizes) * num)
+        left, right = np.nonzero(may)
+        left += at
+        cross = low[left] != low[right]
+        low = forest(c, np.concatenate([np.arange(c), left[cross]]), np.concatenate([low, right[cross]]))
+    return low
+
+
+def sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, key, short, sketch): size, 128-bit digest and sketch of each document's shingle set; ``short`` is
+    half the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -131,9 +177,10 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
             keys = [_key(s) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array([_short(k) for k in keys], pa.int64())], names=["doc_id", "n", "key", "short"])
+                 pa.array([_short(k) for k in keys], pa.int64()), pa.array([sketch(s, num, den) for s in found], pa.binary())],
+                names=["doc_id", "n", "key", "short", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, short long")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, short long, sketch binary")
 
 
 def signatures(docs: DataFrame, words: int, signer: Signer, remember: int = 200_000) -> DataFrame:
@@ -162,28 +209,95 @@ def signatures(docs: DataFrame, words: int, signer: Signer, remember: int = 200_
     return docs.where("doc_id is not null").mapInArrow(run, "sig long, short long")
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature: each row of a signature is linked to the one before it. A bucket in which
-    every row has an element left out says nothing; rows without that come first."""
-    last, last_owner, whole = None, None, False
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by signature as lists of the different sets of each: every list once, as far as this task
+    knows. A signature that every set has by leaving an element out says nothing; rows without that come
+    first. Lists end at ``SIFTED`` sets; the next one then begins with the last set of the one before."""
+    met: set[bytes] = set()
+    rest: list[np.ndarray] = []  # the rows of the signature that the last batch ended with
+    size = 0
+
+    def lists(sig: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        bucket = sig >> 1
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        many = np.flatnonzero((np.diff(cuts) > 1) & ((sig[cuts[:-1]] & 1) == 0))
+        out = []
+        for k in many:
+            own = np.unique(owner[cuts[k] : cuts[k + 1]])
+            for at in range(0, len(own) - 1, SIFTED - 1):
+                part = own[at : at + SIFTED]
+                name = hashlib.blake2b(part.tobytes(), digest_size=12).digest()
+                if name not in met:
+                    if len(met) >= 500_000:
+                        met.clear()
+                    met.add(name)
+                    out.append((part, len(own) > SIFTED))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in out], pa.list_(pa.int64())), pa.array([c for _, c in out], pa.bool_())], names=["members", "chained"])
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        both = np.concatenate(rest)
+        return both[:, 0], both[:, 1]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        bucket, out = sig >> 1, sig & 1
-        if last is None:
-            last, last_owner, whole = bucket[0] - 1, owner[0], False
-        before, before_owner = np.concatenate([[last], bucket[:-1]]), np.concatenate([[last_owner], owner[:-1]])
-        same = bucket == before
-        starts = np.flatnonzero(~same)
-        which = np.cumsum(~same)  # 0: the bucket that the last batch ended with
-        firsts = np.concatenate([[whole], out[starts] == 0])
-        good = firsts[which]
-        take = same & good & (owner != before_owner)
-        a, b = np.minimum(owner[take], before_owner[take]), np.maximum(owner[take], before_owner[take])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        last, last_owner, whole = bucket[-1], owner[-1], bool(good[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+        last = np.searchsorted(rows[:, 0], rows[-1, 0] & ~1)  # sorted: where the last signature begins
+        if last > 0:
+            rest.append(rows[:last])
+            yield lists(*gathered())
+            rest, size = [rows[last:]], len(rows) - last
+        elif rest and rest[-1][-1, 0] >> 1 != rows[0, 0] >> 1:
+            yield lists(*gathered())
+            rest, size = [rows], len(rows)
+        else:  # one signature only: keep each set once, the rows without a missing element first
+            rest.append(rows)
+            size += len(rows)
+            if size > 1 << 20:
+                sig, owner = gathered()
+                _, first = np.unique(owner, return_index=True)
+                first.sort()
+                rest = [np.stack([sig[first], owner[first]], 1)]
+                size = len(first)
+    if rest:
+        yield lists(*gathered())
+
+
+def _sift(num: int, den: int):
+    def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(rows)
+        owner, sizes = group.column("short").to_numpy(), group.column("n").to_numpy()
+        if len(owner) < 2:
+            return
+        low = np.maximum(np.arange(len(owner)) - 1, 0) if group.column("chained")[0].as_py() else sifted(sizes, group.column("sketch").to_pylist(), num, den)
+        hit = np.flatnonzero(low != np.arange(len(low)))
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array(owner[low[hit]])], names=["a", "b"])
+
+    return _grouped(["list"], settle)
+
+
+def _grouped(keys: list[str], settle):
+    """Applies ``settle`` to the rows of each key, in batches that are sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if now != tuple(own[i]) and rows:
+                    yield from settle(rows)
+                    rows = []
+                now = tuple(own[i])
+                rows.append(batch.slice(i, j - i))
+        if rows:
+            yield from settle(rows)
+
+    return run
 
 
 def linked(found: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -212,7 +326,9 @@ def linked(found: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def _verify(words: int, num: int, den: int):
-    def settle(rows: list[pa.RecordBatch], known: WordHashes) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()  # each task gets an empty one
+
+    def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(rows)
         if group.num_rows < 2:
             return
@@ -223,23 +339,7 @@ def _verify(words: int, num: int, den: int):
         if len(hit):
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array([keys[low[i]] for i in hit], pa.binary())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, now = WordHashes(), [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tile = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1), batch.num_rows]
-            for i, j in zip(cuts, cuts[1:]):
-                if now != tuple(tile[i]) and rows:
-                    yield from settle(rows, known)
-                    rows = []
-                now = tuple(tile[i])
-                rows.append(batch.slice(i, j - i))
-        if rows:
-            yield from settle(rows, known)
-
-    return run
+    return _grouped(["cluster", "one", "other"], settle)
 
 
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -258,13 +358,13 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = kept(sets(docs, words), "sets")
+    every = kept(sets(docs, words, num, den), "sets")
     if num < den:
         level = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
         crowd = {r["level"]: r["count"] for r in every.where("n > 0").groupBy(level.alias("level")).count().collect()}  # a row for each band
     else:
         crowd = {}
-    links = _cluster_links(docs, words, num, den, crowd, parts) if num < den else None
+    links = _cluster_links(docs, every, words, num, den, crowd, parts) if num < den else None
     nodes = every.where("n > 0 and doc_id is not null")
     if links is None:
         comps = None
@@ -290,9 +390,14 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     return placed.unionAll(alone)
 
 
-def _cluster_links(docs: DataFrame, words: int, num: int, den: int, crowd: dict[int, int], parts: int) -> DataFrame:
+def _cluster_links(docs: DataFrame, every: DataFrame, words: int, num: int, den: int, crowd: dict[int, int], parts: int) -> DataFrame:
     signed = signatures(docs, words, Signer(num, den, crowd))
-    return signed.repartition(parts, F.call_function("shiftright", F.col("sig"), F.lit(1))).sortWithinPartitions("sig").mapInArrow(_chain, "a long, b long")
+    buckets = signed.repartition(parts, F.call_function("shiftright", F.col("sig"), F.lit(1))).sortWithinPartitions("sig").mapInArrow(
+        _buckets, "members array<long>, chained boolean")
+    lists = kept(kept(buckets, "buckets").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
+    facts = every.where("n > 0 and doc_id is not null").dropDuplicates(["short"]).select("short", "n", "sketch")
+    rows = lists.select("list", "chained", F.explode("members").alias("short")).join(facts, "short")
+    return rows.repartition(parts, "list").sortWithinPartitions("list", "short").mapInArrow(_sift(num, den), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
