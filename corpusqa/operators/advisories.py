@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusqa import values as V
 from corpusqa.functions import text as TX
 
-_WIDTH = 20
+#: Epoch, release numbers, stage and its number of a version; a local part after ``+`` does not order.
+_VERSION = r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[._-]?(dev|alpha|a|beta|b|preview|pre|rc|c|post|rev|r)[._-]?(\d*))?(?:\+.*)?$"
+_STAGES = {"dev": "a", "a": "b", "alpha": "b", "b": "c", "beta": "c", "c": "d", "rc": "d", "pre": "d", "preview": "d",
+           "": "m", "post": "p", "rev": "p", "r": "p"}
 
 
 def parse_requirements(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -29,27 +32,44 @@ def parse_requirements(lines: DataFrame, line: str = "line") -> DataFrame:
     ).filter(F.col("package") != "")
 
 
+def _number(digits: Column) -> Column:
+    """Text that sorts as a whole number of any length: its length comes first."""
+    bare = F.regexp_replace(digits, r"^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)
+
+
 def version_key(version: Column) -> Column:
-    """Text that sorts as the version does: numbers padded, trailing zeros dropped."""
-    short = F.regexp_replace(version, r"(?:\.0++)++$", "")
-    return F.array_join(F.transform(
-        F.split(short, r"[.]"), lambda p: F.lpad(p, _WIDTH, "0")), ".")
+    """Text that sorts as the version does: development and pre-releases before the release, post-releases
+    after it; trailing zeros do not count. Other spellings sort part by part."""
+    text = F.lower(version)
+    epoch, release, stage, number = (F.regexp_extract(text, _VERSION, i) for i in range(1, 5))
+    rank = F.element_at(F.create_map(*(F.lit(x) for kv in _STAGES.items() for x in kv)), stage)
+    parts = lambda t: F.array_join(F.transform(F.split(F.regexp_replace(t, r"(?:\.0++)++$", ""), "[.]"), _number), ".")
+    zero = lambda t: F.when(t == "", "0").otherwise(t)
+    return F.when(release == "", parts(text)).otherwise(
+        F.concat(_number(zero(epoch)), F.lit("/"), parts(release), F.lit("!"), rank, _number(zero(number))))
 
 
 def in_range(installed: Column, affected: Column) -> Column:
     """Does a version meet every clause of a range such as ``>=1.0,<1.4``?
 
-    Alternatives are separated by ``|``.
+    Alternatives are separated by ``|``. ``~=1.4.2`` is ``>=1.4.2,==1.4.*``; ``*`` is any version. A clause that
+    cannot be read counts as met: what is not understood is reported, not passed over.
     """
     key = version_key(installed)
 
     def clause(c: Column) -> Column:
-        op = F.regexp_extract(c, r"^\s*(<=|>=|==|!=|<|>)", 1)
-        bound = version_key(F.regexp_extract(c, r"^\s*(?:<=|>=|==|!=|<|>)\s*(\S+)\s*$", 1))
+        spec = r"^\s*(<=|>=|===?|!=|~=|<|>)\s*(\S+?)\s*$"
+        op, text = F.regexp_extract(c, spec, 1), F.regexp_extract(c, spec, 2)
+        stem = F.when(op == "~=", F.regexp_replace(text, r"\.[^.]*$", "")).otherwise(F.regexp_replace(text, r"\.\*$", ""))
+        family = F.startswith(F.concat(F.lower(installed), F.lit(".")), F.concat(F.lower(stem), F.lit(".")))
+        bound = version_key(text)
         return (F.when(op == "<", key < bound).when(op == "<=", key <= bound)
                 .when(op == ">", key > bound).when(op == ">=", key >= bound)
-                .when(op == "!=", key != bound).when(op == "==", key == bound)
-                .otherwise(F.lit(False)))
+                .when(op == "~=", (key >= bound) & family)
+                .when(op == "!=", F.when(text.endswith(".*"), ~family).otherwise(key != bound))
+                .when(op.isin("==", "==="), F.when(text.endswith(".*"), family).otherwise(key == bound))
+                .otherwise(F.lit(True)))
 
     return F.exists(F.split(affected, r"\|"),
                     lambda alt: F.forall(F.split(alt, ","), clause))

@@ -49,8 +49,8 @@ def line_classes(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",),
 
 def file_stats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text",
                lang: Column | None = None, style: LC.CommentStyle = LC.BASIC_STYLE,
-               max_lines: int = V.MAX_FILE_LINES) -> DataFrame:
-    """Per document: lines, code, comments, blank.  Documents over the limit are out."""
+               max_lines: int | None = None) -> DataFrame:
+    """Per document: lines, code, comments, blank.  Documents over ``max_lines``, if given, are out."""
     lang = F.lit("") if lang is None else lang
 
     def count(code: Column) -> Column:
@@ -65,7 +65,7 @@ def file_stats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str
 
     counted = TX.let(
         TX.splitlines(F.col(text_col)),
-        lambda ls: F.when(F.size(ls) <= max_lines,
+        lambda ls: F.when(F.lit(True) if max_lines is None else F.size(ls) <= max_lines,
                           F.array(TX.let(LC.codes(ls, lang, style), count))),
     )
     return docs.select(*keep, F.inline(counted))

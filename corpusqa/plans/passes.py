@@ -53,7 +53,7 @@ def advanced_pass(corpus: DataFrame, id_col: str = "doc_id") -> dict[str, DataFr
         "issues": issues,
         "functions": S.functions(known.filter(lang == "Python"), [id_col]),
         "dependencies": D.edges_of(known, D.dependencies(text, lang), [id_col]),
-        "tokens": X.token_totals(known, k=V.TOP_TOKENS),
+        "tokens": X.token_totals(known),
         "file_metrics": L.file_metrics(known, [id_col], lang=lang),
         "duplicate_blocks": dups.duplicate_blocks(known, id_col, lang=lang),
         "duplicate_locations": dups.duplicate_locations(known, id_col, lang=lang),

@@ -38,7 +38,7 @@ class _TreeReader(DataSourceReader):
         self.names = tuple(options.get("names", "").split("|"))
         self.ignored = set(options.get("ignored", "").split("|"))
         self.split_bytes = int(options.get("splitbytes", 64 << 20))
-        self.max_bytes = int(options.get("maxbytes", 1 << 30))
+        self.max_bytes = int(options["maxbytes"]) if "maxbytes" in options else None
 
     def _wanted(self, name: str) -> bool:
         if name.startswith("."):
@@ -84,7 +84,7 @@ class _TreeReader(DataSourceReader):
         held = 0
         for path, rel, size in partition.files:
             content = None
-            if size <= self.max_bytes:
+            if self.max_bytes is None or size <= self.max_bytes:
                 with filesystem.open_input_stream(path) as f:
                     content = f.read()
             rows.append((path, rel, size, content))

@@ -206,3 +206,22 @@ def test_passes_on_a_tree(spark, tree, tmp_path):
     assert out["metrics"].first().files == len(KEPT)
     assert {(r.doc_id, r.module) for r in out["dependencies"].collect()} >= {("app.py", "flask")}
     assert passes.lexicon_pass(corpus)["personas"].count() == len(KEPT)
+
+
+def test_versions(spark):
+    from corpusqa.operators import advisories
+
+    cases = [("1.0rc1", "<1.0", True), ("1.0", "<1.0rc1", False), ("1.5", "~=1.4", True), ("2.0", "~=1.4", False), ("1.4", "==1.*", True), ("1.0", "*", True),
+             ("v1.2", "<1.3", True), ("1!1.0", "<2.0", False), ("1.0.post1", ">1.0", True), ("1.0.dev1", "<1.0a1", True), ("1.0+local", "==1.0", True),
+             ("1.123456789012345678901", "==1.123456789012345678902", False), ("1.10", ">1.9", True), ("1.0.0", "==1", True), ("1.4", ">=2|<1.5,>1.3", True), ("1.4", "what", True)]
+    rows = spark.createDataFrame(cases, "v string, r string, want boolean")
+    from pyspark.sql import functions as F
+
+    assert [tuple(r) for r in rows.where(advisories.in_range(F.col("v"), F.col("r")) != F.col("want")).collect()] == []
+
+
+def test_long_documents_stay(spark):
+    from corpusqa.operators import lines
+
+    docs = spark.createDataFrame([(1, "x\n" * 100_001), (2, "x\n" * 10)], "doc_id long, text string")
+    assert sorted(r.lines for r in lines.file_stats(docs).collect()) == [10, 100_001]
