@@ -1,5 +1,7 @@
 """The driver contract on the smallest tables, and streams against batches."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ def test_entry(spark):
 
 
 def test_only_known_queries_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"self_assignment", "file_details_json"}
+    # The training-data queries, where they are present, have tests of their own.
+    own = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own - set(entry.oracle_sql()) == {"self_assignment", "file_details_json"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
