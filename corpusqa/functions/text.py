@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +22,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def fold(items: Column, start: Mapping[str, Column], found: Mapping[str, str],
+         step: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """struct of the ``start`` fields and the ``found`` arrays after ``step`` has seen every item.
+
+    ``step`` takes such a struct and an item and returns the next struct, with its fields in
+    this order.  ``found`` (names and element types) only grows.  A step may copy its state,
+    so items are folded by the chunk, each beginning with nothing found: a long document
+    does not copy all its earlier results for every line.
+    """
+    def empty(element: str) -> Column:
+        return F.array().cast(f"array<{element}>")
+
+    part = "struct<" + ",".join(f"{n}:array<{kind}>" for n, kind in found.items()) + ">"
+
+    def over(a: Column, some: Column) -> Column:
+        begin = F.struct(*[a[n].alias(n) for n in start],
+                         *[empty(kind).alias(n) for n, kind in found.items()])
+        return F.aggregate(some, begin, step, lambda s: F.struct(
+            *[s[n].alias(n) for n in start],
+            F.concat(a["_parts"], F.array(F.struct(*[s[n].alias(n) for n in found]))).alias("_parts")))
+
+    def chunks(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(chunk))
+        return F.transform(starts, lambda i: F.slice(xs, i, chunk))
+
+    def gathered(a: Column, name: str) -> Column:
+        return F.flatten(F.transform(a["_parts"], lambda p: p[name])).alias(name)
+
+    first = F.struct(*[c.alias(n) for n, c in start.items()], empty(part).alias("_parts"))
+    return F.aggregate(let(items, chunks), first, over, lambda a: F.struct(
+        *[a[n].alias(n) for n in start],
+        *[gathered(a, n) for n in found]))
+
+
 def one_row(values: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """Generator of one row from a struct, or of none when ``keep`` says no.
 

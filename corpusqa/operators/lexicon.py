@@ -28,6 +28,27 @@ def segment_pattern(scope: str = "line") -> str:
     return rf"(?=[#/\"'`])(?:{parts})"
 
 
+# Written into "/*" where no "*/" follows, for texts that do not have it themselves.
+_NO_END = "\uffff"
+
+
+def _segments(text: Column, pattern: str) -> Column:
+    """``matches`` of a pattern with block comments, in time linear in the text.
+
+    Each ``/*`` without a ``*/`` behind it would be looked at to the text's end, only to fail;
+    behind the last ``*/`` they are made unlike a comment for the search.
+    """
+    last = F.instr(F.reverse(text), "/*")  # from the end; 0 if there is no "*/"
+    head = F.when(last > 0, F.length(text) - last + 1).otherwise(0)
+    open_ended = text.contains("/*") & ~text.contains(_NO_END)
+    masked = TX.let(head, lambda n: F.concat(
+        F.left(text, n), F.replace(F.substr(text, n + 1), F.lit("/*"), F.lit(f"/{_NO_END}*"))))
+    searched = F.struct(F.when(open_ended, masked).otherwise(text).alias("text"),
+                        F.when(open_ended, f"/{_NO_END}*").otherwise("").alias("mask"))
+    return TX.let(searched, lambda s: F.transform(matches(s["text"], pattern), lambda m: F.struct(
+        m["line"].alias("line"), F.replace(m["text"], s["mask"], F.lit("/*")).alias("text"))))
+
+
 def _keyword_pattern(word: str) -> str:
     p = literal(word)
     return java(p if " " in word else rf"\b{p}\b", ignore_case=True)
@@ -37,7 +58,7 @@ def lexicon_hits(text: Column, words: Sequence[str] = V.KEYWORDS, scope: str = "
                  limit: int = V.CONTEXT_CHARS) -> Column:
     """array<struct<line, keyword, context>>: each word once per segment that has it."""
     any_word = "|".join(f"(?:{_keyword_pattern(w)})" for w in words)
-    segments = F.filter(matches(text, segment_pattern(scope)),
+    segments = F.filter(_segments(text, segment_pattern(scope)),
                         lambda s: s["text"].rlike(any_word))
     return F.flatten(F.transform(segments, lambda s: F.transform(
         F.filter(
@@ -82,7 +103,7 @@ def _trim_break(segment: Column) -> Column:
 def marker_counts(text: Column, markers: Sequence[str] = V.TASK_MARKERS,
                   scope: str = "line") -> Column:
     """array<struct<marker, n>>: comments that hold each marker, zero counts too."""
-    return TX.let(matches(text, comment_pattern(scope)), lambda comments: F.array(*[
+    return TX.let(_segments(text, comment_pattern(scope)), lambda comments: F.array(*[
         F.struct(
             F.lit(m).alias("marker"),
             F.size(F.filter(comments, lambda c: c["text"].rlike(

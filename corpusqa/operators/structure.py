@@ -51,11 +51,8 @@ def _line_facts(text: Column) -> Column:
 
 
 def _fold(facts: Column) -> Column:
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("cont"), F.lit(0).alias("last"),
-        _empty(_ENTRY).alias("stack"), _empty(_FUNCTION).alias("functions"),
-        _empty(_NESTED).alias("nesting"), _empty(_LOOPS).alias("loops"),
-    )
+    start = {"depth": F.lit(0), "cont": F.lit(False), "last": F.lit(0), "stack": _empty(_ENTRY)}
+    found = {"functions": _FUNCTION, "nesting": _NESTED, "loops": _LOOPS}
 
     def closed(entries: Column, end: Column) -> Column:
         return F.transform(
@@ -127,7 +124,7 @@ def _fold(facts: Column) -> Column:
             a["nesting"].alias("nesting"), a["loops"].alias("loops"),
             (a["depth"] == 0).alias("structure_ok"))
 
-    return F.aggregate(facts, start, step, finish)
+    return TX.let(TX.fold(facts, start, found, step), finish)
 
 
 def _parameters(sig: Column) -> Column:
@@ -251,10 +248,8 @@ def brace_structure(text: Column, lang: Column) -> Column:
     def is_loop(head: Column) -> Column:
         return head.isin(*_LOOP_HEADS)
 
-    start = F.struct(
-        F.lit(1).alias("line"), F.lit(0).alias("depth"), F.lit(0).alias("paren"),
-        _empty(_BRACE_ENTRY).alias("stack"), _empty(_BRACE_BLOCK).alias("blocks"),
-        _empty(_LOOPS).alias("loops"))
+    start = {"line": F.lit(1), "depth": F.lit(0), "paren": F.lit(0), "stack": _empty(_BRACE_ENTRY)}
+    found = {"blocks": _BRACE_BLOCK, "loops": _LOOPS}
 
     def state(a, **changed):
         names = ("line", "depth", "paren", "stack", "blocks", "loops")
@@ -305,7 +300,7 @@ def brace_structure(text: Column, lang: Column) -> Column:
                 a["stack"], lambda e: e["open"] | (e["paren"] < a["paren"]))))
             .otherwise(on_header(a, t)))
 
-    return F.aggregate(parts, start, step, lambda a: F.struct(
+    return TX.let(TX.fold(parts, start, found, step), lambda a: F.struct(
         a["blocks"].alias("blocks"), a["loops"].alias("loops")))
 
 
@@ -341,8 +336,7 @@ def block_extents(docs: DataFrame, header: str, id_cols: Sequence[str] = ("doc_i
             (F.length(raw) - F.length(F.ltrim(raw, F.lit(indent)))).alias("indent"),
             TX.strip(raw).alias("head"))),
         lambda x: x["head"] != "")
-    start = F.struct(F.lit(0).alias("last"), _empty(item).alias("stack"),
-                     _empty(block).alias("blocks"))
+    start = {"last": F.lit(0), "stack": _empty(item)}
 
     def ended(entries: Column, end: Column) -> Column:
         return F.transform(entries, lambda e: F.struct(
@@ -357,6 +351,6 @@ def block_extents(docs: DataFrame, header: str, id_cols: Sequence[str] = ("doc_i
             F.when(F.size(popped) > 0, F.concat(a["blocks"], ended(popped, a["last"])))
             .otherwise(a["blocks"]).alias("blocks"))
 
-    found = F.aggregate(facts, start, step,
-                        lambda a: F.concat(a["blocks"], ended(a["stack"], a["last"])))
+    found = TX.let(TX.fold(facts, start, {"blocks": block}, step),
+                   lambda a: F.concat(a["blocks"], ended(a["stack"], a["last"])))
     return docs.select(*id_cols, F.inline(found)).withColumnRenamed("head", "header")

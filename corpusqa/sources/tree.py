@@ -8,6 +8,7 @@ the remaining files into partitions of about equal size.
 
 from __future__ import annotations
 
+import os
 import posixpath
 from collections.abc import Iterator, Sequence
 
@@ -50,11 +51,15 @@ class _TreeReader(DataSourceReader):
     def _walk(self, filesystem, root: str) -> Iterator[tuple[str, int]]:
         from pyarrow import fs
 
+        # Links to directories are not followed: they may lead back to where they are.
+        local = isinstance(filesystem, fs.LocalFileSystem)
         todo = [root]
         while todo:
             for info in filesystem.get_file_info(fs.FileSelector(todo.pop())):
                 name = info.base_name
                 if info.type == fs.FileType.Directory:
+                    if local and os.path.islink(info.path):
+                        continue
                     if name not in self.ignored and not name.startswith("."):
                         todo.append(info.path)
                 elif info.type == fs.FileType.File and self._wanted(name):

@@ -1,6 +1,7 @@
 """Lexicon, markers, names, personas, scores, metrics and reports."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -187,3 +188,24 @@ def test_language_gate(docs):
     got = {(r.doc_id, r.type) for r in R.rule_scan(frame, V.ISSUE_RULES, lang=F.col("lang")).collect()}
     assert got == {(0, "hardcoded_credentials"), (0, "var_usage"), (1, "xss"),
                    (1, "hardcoded_credentials"), (2, "hardcoded_credentials")}
+
+
+def test_block_comments_without_end(docs):
+    """Only a comment that ends is one; what comes behind an open one is still read; the text stays as it is."""
+    texts = [
+        "/* todo: a */ x /* todo: b\n# todo: c /* d\n",
+        "a /* todo: b", "/*/ todo: x", "*/* todo: y", "/* todo: a */* todo: b", "/* todo: \uffff */ /* todo: z",
+    ]
+    got = {r["doc_id"]: r["n"] for r in X.task_markers(docs(texts), markers=["todo"]).collect()}
+    assert got == {0: 2, 4: 1, 5: 1}
+    rows = X.lexicon_refs(docs(texts), words=["todo"]).orderBy("doc_id", "line").collect()
+    assert [(r["doc_id"], r["line"], r["context"]) for r in rows] == [
+        (0, 1, "/* todo: a */"), (0, 2, "# todo: c /* d"), (4, 1, "/* todo: a */"), (5, 1, "/* todo: \uffff */")]
+
+
+def test_open_block_comments_in_linear_time(docs):
+    """20,000 lines, each with an opening that no end follows."""
+    begin = time.perf_counter()
+    text = "see src/* for more\n# todo: it\n" * 20_000
+    assert X.task_markers(docs([text]), markers=["todo"]).collect()[0]["n"] == 20_000
+    assert time.perf_counter() - begin < 20

@@ -9,6 +9,7 @@ from corpusqa import values as V
 from corpusqa.operators import advisories as A, deps as D, paths as P
 from corpusqa.plans import passes
 from corpusqa.sources import files as SF
+from corpusqa.sources.tree import SourceTree
 
 TREE = {
     "app.py": b"import utils\nfrom models.user import User\nimport flask\n",
@@ -225,3 +226,12 @@ def test_long_documents_stay(spark):
 
     docs = spark.createDataFrame([(1, "x\n" * 100_001), (2, "x\n" * 10)], "doc_id long, text string")
     assert sorted(r.lines for r in lines.file_stats(docs).collect()) == [10, 100_001]
+
+
+def test_linked_directories_are_not_followed(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("x = 1\n")
+    (tmp_path / "a" / "back").symlink_to(tmp_path, target_is_directory=True)
+    spark.dataSource.register(SourceTree)
+    found = spark.read.format("source_tree").option("path", str(tmp_path)).load()
+    assert [r["rel_path"] for r in found.select("rel_path").collect()] == ["a/x.py"]

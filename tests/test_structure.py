@@ -2,6 +2,7 @@
 
 import ast
 import sysconfig
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -160,3 +161,32 @@ def test_block_extents(spark, docs):
     frame = docs(["H one\n  x\n  H two\n    y\n\n  z\nH three"])
     got = sorted((r.line, r.end_line) for r in S.block_extents(frame, "^H").collect())
     assert got == [(1, 6), (3, 4), (7, 7)]
+
+
+def seconds(frame):
+    begin = time.perf_counter()
+    n = frame.count()
+    return time.perf_counter() - begin, n
+
+
+def test_many_functions_in_linear_time(docs):
+    """Four times the functions of a document: far from sixteen times the time."""
+    for text, run in (
+        ("def f(a): return a\n", S.functions),
+        ("def f(a):\n  return a\n", lambda d: S.block_extents(d, r"^def ")),
+        ("function f(a) { return a; }\n", lambda d: d.select(F.inline(S.brace_functions(
+            S.brace_structure(F.col("text"), F.lit("javascript")))))),
+    ):
+        run(docs([text * 10])).count()
+        short, n = seconds(run(docs([text * 2_000])))
+        long, m = seconds(run(docs([text * 8_000])))
+        assert (n, m) == (2_000, 8_000)
+        assert long < 10 * short + 3
+
+
+def test_functions_over_many_chunks(docs):
+    """State is carried from chunk to chunk: one function around a thousand lines."""
+    text = "def f(a):\n" + "    if a:\n        g(a)\n" * 500 + "def h(): pass\n"
+    rows = {r["name"]: r for r in S.functions(docs([text])).collect()}
+    assert (rows["f"]["line"], rows["f"]["end_line"], rows["f"]["complexity"]) == (1, 1001, 501)
+    assert (rows["h"]["line"], rows["h"]["end_line"]) == (1002, 1002)
