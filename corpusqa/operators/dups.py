@@ -1,7 +1,7 @@
 """Duplicate blocks: equal windows of clean lines, anywhere in the corpus.
 
-Only a 16-byte digest and a location per window are ever shuffled; the text of a
-block is fetched once per block, for the blocks that are kept.  A
+To find blocks, only a 16-byte digest and a location per window are shuffled.  Showing
+their text takes a join of the documents with the samples (``duplicate_blocks``).  A
 block copied into a third of the corpus is one partial-aggregate row per map
 task.  Locations are rows, not a list in one cell, so no group has to fit
 anywhere.
