@@ -48,10 +48,11 @@ def digest(block: Column) -> Column:
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lang: Column | None = None, style: LC.CommentStyle = LC.DUPLICATE_STYLE,
             size: int = V.WINDOW_LINES, min_chars: int = V.WINDOW_MIN_CHARS,
-            first_only: bool = False) -> DataFrame:
+            first_only: bool = False, mark_first: bool = False) -> DataFrame:
     """One row per sliding window: id, key, clean_start, line.  No shuffle.
 
-    ``first_only`` keeps each key's first window of a document.
+    ``first_only`` keeps each key's first window of a document; ``mark_first`` keeps
+    all and adds ``first``, 1 for those and 0 for the others.
     """
     lang = F.lit("") if lang is None else lang
 
@@ -78,16 +79,27 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             digest(F.array_join(F.transform(w["part"], lambda x: x["text"]), "\n")).alias("key"),
             w["clean_start"].alias("clean_start"),
             F.element_at(w["part"], 1)["line"].alias("line")))
+        if mark_first:
+            return _marked_firsts(found)
         return _first_per_key(found) if first_only else found
 
     return docs.select(id_col, F.inline(TX.let(
         measured(clean_lines(F.col(text_col), lang, style)), slide)))
 
 
+def _is_first(ws: Column, w: Column, i: Column) -> Column:
+    """In windows sorted by key and start: is this the first one of its key?"""
+    return (i == 0) | (F.element_at(ws, F.greatest(i, F.lit(1)))["key"] != w["key"])
+
+
 def _first_per_key(found: Column) -> Column:
-    return TX.let(F.array_sort(found), lambda ws: F.filter(
-        ws, lambda w, i: (i == 0)
-        | (F.element_at(ws, F.greatest(i, F.lit(1)))["key"] != w["key"])))
+    return TX.let(F.array_sort(found), lambda ws: F.filter(ws, lambda w, i: _is_first(ws, w, i)))
+
+
+def _marked_firsts(found: Column) -> Column:
+    return TX.let(F.array_sort(found), lambda ws: F.transform(ws, lambda w, i: F.struct(
+        *[w[c].alias(c) for c in ("key", "clean_start", "line")],
+        _is_first(ws, w, i).cast("int").alias("first"))))
 
 
 def _sample_id(df: DataFrame, id_col: str) -> Column:

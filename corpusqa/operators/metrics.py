@@ -213,11 +213,9 @@ def duplicate_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A block makes one smell in each document that has it, so the first windows
     per document are all that is counted next to the locations.
     """
-    every = dups.windows(docs, id_col, text_col, lang, style).select("key", F.lit(0).alias("first"))
-    firsts = dups.windows(docs, id_col, text_col, lang, style, first_only=True).select(
-        "key", F.lit(1).alias("first"))
-    per_key = every.unionByName(firsts).groupBy("key").agg(
-        F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("documents"))
+    found = dups.windows(docs, id_col, text_col, lang, style, mark_first=True)
+    per_key = found.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("first").alias("documents"))
     return per_key.filter(F.col("n") > 1).agg(
         F.count(F.lit(1)).alias("blocks"),
         F.coalesce(F.sum("documents"), F.lit(0)).alias("smells")).select(

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusqa.operators import deps as D, structure as S
-from corpusqa.plans.oracle import text
+from corpusqa import values as V
+from corpusqa.functions.linecodes import ADVANCED_STYLE
+from corpusqa.operators import deps as D, lexicon as X, lines as L, rules as R, structure as S
+from corpusqa.plans.oracle import W, WS, keyword_test, metrics_cte, strip, text
 from corpusqa.plans.queries import documents
 
 # The signature at position k has k parameters.
@@ -20,6 +22,20 @@ SIGNATURES = (
     "a, b, c: dict[str, int], *d, **e", "a, b, c, d, e, f=lambda x, y: x", "a, b, c, d, e, f, g",
 )
 INDENTS = 10
+LANGUAGES = ("Python", "JavaScript", "PHP", "TypeScript", "HTML", "Ruby")
+# For each default rule, marker and word a line that it hits, and lines that it just misses.
+# The document's own line follows as a comment.
+RULE_SHAPES = (
+    "except:", "except ValueError:", "from m import *", "from m import n", "def f(a, b=[]):",
+    "def f(a, b=None):", "eval(x)", "eval(request)", "var x", "let y", "if (a == b)", "if (a === b)",
+    "with (o)", "with o", "cursor.execute(q + v)", "query(`${q}`)", "query(q, v)", "e.innerHTML = v",
+    "document.write(v)", "document.writer(v)", "password = 'abc'", 'api-key = "k"', "password = v",
+    "for i in range(len(x))", "for i in range(n)", "document.getElementById(v)", "$('a')", "$(a)",
+    "if True", "while true", "whilst True", "x = x", "ax = x", "x = xy", "return None", "x == y",
+    "# TODO: t", "// fixme: u", "# HACK v", "# XXX:", "# NOTE: w", "# TODOS: none", "// tiny rick",
+    "# squanch", "# squanching", "# a portal gun",
+)
+BLOCK_SHAPES = ("x = 1", "/* a", "b */", "// c", "# d", "/* e */ f", "g */ h /* i", "", "y = 2")
 
 
 def _pick(choice: Column, *options: Column) -> Column:
@@ -62,6 +78,35 @@ def brace_texts(s, d) -> DataFrame:
     return _rewrite(documents(s, d), code)
 
 
+def shaped_texts(s, d, shapes) -> DataFrame:
+    """Each line a shape chosen by the line's length, and then the line itself."""
+    lines = F.transform(F.split("text", "\n", -1), lambda raw: F.concat(
+        _pick(F.length(raw) % len(shapes), *map(F.lit, shapes)), F.lit(" # "), raw))
+    return documents(s, d).select(
+        "doc_id", _pick((F.col("doc_id") % len(LANGUAGES)).cast("int"), *map(F.lit, LANGUAGES)).alias("lang"),
+        F.array_join(lines, "\n").alias("text"))
+
+
+def default_rules(s, d):
+    return R.rule_scan(shaped_texts(s, d, RULE_SHAPES), V.ISSUE_RULES, lang=F.col("lang")).drop("context")
+
+
+def default_simple_code(s, d):
+    return R.match_scan(shaped_texts(s, d, RULE_SHAPES), V.SIMPLE_CODE_RULES).drop("match")
+
+
+def default_markers(s, d):
+    return X.task_markers(shaped_texts(s, d, RULE_SHAPES))
+
+
+def default_keywords(s, d):
+    return X.lexicon_refs(shaped_texts(s, d, RULE_SHAPES)).drop("context")
+
+
+def block_comments(s, d):
+    return L.file_metrics(shaped_texts(s, d, BLOCK_SHAPES), lang=F.col("lang"), style=ADVANCED_STYLE)
+
+
 def functions(s, d):
     return S.functions(python_texts(s, d))
 
@@ -102,7 +147,8 @@ def loose_imports(s, d):
 
 
 REGISTERED = (functions, deep_nesting, nested_loops, structure_issues, python_imports,
-              brace_functions, brace_loops, javascript_imports, loose_imports)
+              brace_functions, brace_loops, javascript_imports, loose_imports,
+              default_rules, default_simple_code, default_markers, default_keywords, block_comments)
 
 # --------------------------------------------------------------------- the SQL
 
@@ -140,6 +186,39 @@ def _big(*names: str) -> str:
     return ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
 
 
+def _choice(x: str, values) -> str:
+    arms = " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values))
+    return f"CASE {x} % {len(values)} {arms} END"
+
+
+def _shaped(shapes) -> str:
+    """l: the lines of ``shaped_texts``, raw and stripped."""
+    return f"""{_LENGTHS}, l0 AS (SELECT r.doc_id, r.n, {_choice('r.doc_id', LANGUAGES)} AS lang,
+  {_choice('length(r.raw)', shapes)} || ' # ' || r.raw AS raw FROM r),
+l AS (SELECT *, {strip('raw')} AS s FROM l0)"""
+
+
+def _rule_rows(rules, extra: str) -> str:
+    """A row per match in a line; a line end may be part of one."""
+    line = "(raw || chr(10))"
+    parts = []
+    for r in rules:
+        gate = "TRUE" if "all" in r.languages else f"lower(lang) IN ({', '.join(map(text, r.languages))})"
+        flag = "(?i)" if r.ignore_case else ""
+        pattern = flag + r.pattern.replace(r"\w", f"[{W}]").replace(r"\s", f"[{WS}]")
+        if r.name == "sql_injection":  # the rest of the line belongs to the match
+            n = f"CAST(regexp_matches({line}, {text(pattern)}) AS INT)"
+        elif r.name == "self_assignment":  # the word after the sign ends the one before it
+            pair = f"[{W}]+[{WS}]*=[{WS}]*[{W}]+"
+            n = (f"len(list_filter(regexp_extract_all({line}, '{pair}'), lambda x: ends_with("
+                 f"lower(regexp_extract(x, '^[{W}]+')), lower(regexp_extract(x, '[{W}]+$')))))")
+        else:
+            n = f"len(regexp_extract_all({line}, {text(pattern)}))"
+        parts.append(f"SELECT doc_id, {extra.format(r=r)}{text(r.name)} AS type, {text(r.description)} AS description, "
+                     f"CAST(n AS BIGINT) AS line, unnest(range({n})) AS k FROM l WHERE {gate}")
+    return " UNION ALL ".join(parts)
+
+
 def oracle() -> dict[str, str]:
     smells = " UNION ALL ".join(
         f"SELECT doc_id, '{name}' AS type, {message} AS description, 'medium' AS severity, "
@@ -153,7 +232,24 @@ def oracle() -> dict[str, str]:
   UNION SELECT doc_id, 'p' || (c % 4) FROM c WHERE c % 9 = 6"""
     word = r"[\p{L}\p{N}_.]+"
     space = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    shaped = _shaped(RULE_SHAPES)
+    comment = "cm AS (SELECT doc_id, n, regexp_extract(raw, '(?:#|//).*') || chr(10) AS seg FROM l)"
+    markers = " UNION ALL ".join(
+        f"SELECT doc_id, {text(m)} AS marker, CAST(count(*) AS BIGINT) AS n FROM cm "
+        f"WHERE regexp_matches(seg, {text(f'(?i)(^|[^{W}]){m}[:{WS}]')}) GROUP BY doc_id" for m in V.TASK_MARKERS)
+    keywords = " UNION ALL ".join(
+        f"SELECT doc_id, CAST(n AS BIGINT) AS line, {text(k)} AS keyword FROM cm WHERE {keyword_test('seg', k)}"
+        for k in V.KEYWORDS)
     return {
+        "default_rules": f"""WITH {shaped}, h AS ({_rule_rows(V.ISSUE_RULES, "'{r.category}' AS category, '{r.severity}' AS severity, ")})
+  SELECT doc_id, category, type, description, severity, line FROM h""",
+        "default_simple_code": f"WITH {shaped}, h AS ({_rule_rows(V.SIMPLE_CODE_RULES, '')}) "
+                               "SELECT doc_id, type, description, line FROM h",
+        "default_markers": f"WITH {shaped}, {comment} {markers}",
+        "default_keywords": f"WITH {shaped}, {comment} {keywords}",
+        "block_comments": f"""WITH {_shaped(BLOCK_SHAPES)}, {metrics_cte(ADVANCED_STYLE, 'doc_id')}
+  SELECT doc_id, loc, comment_lines, round(comment_lines / loc, 6) AS comment_density,
+  round(avg_line_length, 6) AS avg_line_length FROM fm""",
         "functions": f"WITH {_INDENTED} SELECT doc_id, name, "
                      f"{_big('line', 'end_line', 'lines', 'params', 'complexity')} FROM f",
         "deep_nesting": f"WITH {_INDENTED} SELECT doc_id, name, {_big('level', 'line')} FROM dn",
