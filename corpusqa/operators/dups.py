@@ -16,7 +16,7 @@ from corpusqa import values as V
 from corpusqa.functions import linecodes as LC, text as TX
 from corpusqa.functions.patterns import DIGIT, WORD
 from corpusqa.operators.lexicon import word_count
-from corpusqa.operators.skew import attach
+from corpusqa.operators.skew import PARTS, attach
 
 # Three word characters in a row that are not digits.
 _LETTERS = f"[{WORD}&&[^{DIGIT}]]{{3}}"
@@ -157,11 +157,11 @@ def duplicate_locations(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         lang: Column | None = None,
                         style: LC.CommentStyle = LC.DUPLICATE_STYLE,
                         size: int = V.WINDOW_LINES,
-                        min_chars: int = V.WINDOW_MIN_CHARS) -> DataFrame:
-    """Every location of every duplicated block, one row each."""
+                        min_chars: int = V.WINDOW_MIN_CHARS, parts: int = PARTS) -> DataFrame:
+    """Every location of every duplicated block, one row each; ``parts`` as in ``attach``."""
     found = windows(docs, id_col, text_col, lang, style, size, min_chars)
     keys = duplicate_keys(found, id_col).select("key", "n_locations")
-    return attach(found, keys, "key", "n_locations", [id_col, "clean_start"]).select(
+    return attach(found, keys, "key", "n_locations", [id_col, "clean_start"], parts).select(
         F.lower(F.hex("key")).alias("key"), id_col, "clean_start",
         (F.col("clean_start") + (size - 1)).alias("clean_end"), "line", "n_locations")
 

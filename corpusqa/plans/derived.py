@@ -35,6 +35,7 @@ RULE_SHAPES = (
     "# TODO: t", "// fixme: u", "# HACK v", "# XXX:", "# NOTE: w", "# TODOS: none", "// tiny rick",
     "# squanch", "# squanching", "# a portal gun",
 )
+WORD_SHAPES = tuple(f"{mark} {word}{end}" for word in V.KEYWORDS for mark, end in (("#", ""), ("//", " x"), ("#", "s")))
 BLOCK_SHAPES = ("x = 1", "/* a", "b */", "// c", "# d", "/* e */ f", "g */ h /* i", "", "y = 2")
 
 
@@ -100,7 +101,7 @@ def default_markers(s, d):
 
 
 def default_keywords(s, d):
-    return X.lexicon_refs(shaped_texts(s, d, RULE_SHAPES)).drop("context")
+    return X.lexicon_refs(shaped_texts(s, d, WORD_SHAPES)).drop("context")
 
 
 def block_comments(s, d):
@@ -246,7 +247,7 @@ def oracle() -> dict[str, str]:
         "default_simple_code": f"WITH {shaped}, h AS ({_rule_rows(V.SIMPLE_CODE_RULES, '')}) "
                                "SELECT doc_id, type, description, line FROM h",
         "default_markers": f"WITH {shaped}, {comment} {markers}",
-        "default_keywords": f"WITH {shaped}, {comment} {keywords}",
+        "default_keywords": f"WITH {_shaped(WORD_SHAPES)}, {comment} {keywords}",
         "block_comments": f"""WITH {_shaped(BLOCK_SHAPES)}, {metrics_cte(ADVANCED_STYLE, 'doc_id')}
   SELECT doc_id, loc, comment_lines, round(comment_lines / loc, 6) AS comment_density,
   round(avg_line_length, 6) AS avg_line_length FROM fm""",

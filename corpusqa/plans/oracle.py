@@ -435,6 +435,7 @@ SELECT page_id, '{V.CODE_SMELLS}' AS category, 'var_usage' AS type, 'Using var i
         "top_issue_types": f"""WITH {L}, {hits_cte(Q.RULES + Q.GATED_RULES)} SELECT type,
   CAST(count(*) AS BIGINT) AS n FROM h WHERE category = '{V.CODE_SMELLS}' GROUP BY type ORDER BY n DESC, type LIMIT 3""",
         "simple_matches": _simple_matches(),
+        "self_assignment": _repeated_words(),
         "lexicon_refs": f"WITH {refs_cte()} SELECT doc_id, line, keyword, context FROM refs",
         "lexicon_rollup": f"""WITH {refs_cte()} SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM refs
   GROUP BY ROLLUP (doc_id)""",
@@ -523,6 +524,7 @@ SELECT DISTINCT from_path, to_path FROM t WHERE to_path IS NOT NULL AND from_pat
   regexp_extract(p_brand, '[0-9]+') || '.' || p_size AS installed FROM part),
 i AS (SELECT *, {_version('installed')} AS v FROM i0) {_advisories()}""",
     }
+    out["dup_locations_skew"] = out["dup_locations"]
     return out
 
 
@@ -531,6 +533,23 @@ def _basic_default():
     return BASIC_STYLE
 
 
+# Of a chain of hits, each of which begins with the end of the one before, every second counts.
+EVERY_SECOND = """pr1 AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY doc_id, type ORDER BY i) AS chain FROM pr0),
+pr AS (SELECT doc_id, type, description, line, match FROM pr1
+  QUALIFY row_number() OVER (PARTITION BY doc_id, type, chain ORDER BY i) % 2 = 1)"""
+
+
+def runs_cte() -> str:
+    """rn: runs of word and of other characters, with the two that follow and the line."""
+    runs = f"regexp_extract_all(text, '[{W}]+|[^{W}]+')"
+    return f"""rn0 AS (SELECT doc_id, unnest({runs}) AS run,
+  generate_subscripts({runs}, 1) AS i FROM documents),
+rn AS (SELECT *, lead(run) OVER o AS gap, lead(run, 2) OVER o AS nxt,
+  1 + coalesce(sum(length(run) - length(replace(run, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM rn0
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i))"""
+
+
 def pairs_cte() -> str:
     """pr: hits of the simple rules, found as two word runs with white space between.
 
@@ -541,17 +560,19 @@ def pairs_cte() -> str:
         f"CAST(line AS BIGINT) AS line, left(run || gap || nxt, {V.MATCH_CHARS}) AS match FROM rn "
         f"WHERE lower(run) = '{SIMPLE_WORDS[r.name][0]}' AND lower(nxt) = '{SIMPLE_WORDS[r.name][1]}' "
         f"AND regexp_full_match(gap, '[{WS}]+')" for r in Q.SIMPLE_RULES)
-    runs = f"regexp_extract_all(text, '[{W}]+|[^{W}]+')"
-    return f"""rn0 AS (SELECT doc_id, unnest({runs}) AS run,
-  generate_subscripts({runs}, 1) AS i FROM documents),
-rn AS (SELECT *, lead(run) OVER o AS gap, lead(run, 2) OVER o AS nxt,
-  1 + coalesce(sum(length(run) - length(replace(run, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM rn0
-  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    return f"""{runs_cte()},
 pr0 AS ({found}),
-pr1 AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY doc_id, type ORDER BY i) AS chain FROM pr0),
-pr AS (SELECT doc_id, type, description, line, match FROM pr1
-  QUALIFY row_number() OVER (PARTITION BY doc_id, type, chain ORDER BY i) % 2 = 1)"""
+{EVERY_SECOND}"""
+
+
+def _repeated_words() -> str:
+    """A word, white space, and the same word in any case."""
+    rule = Q.REPEATED_WORD[0]
+    return f"""WITH {runs_cte()},
+pr0 AS (SELECT doc_id, {text(rule.name)} AS type, {text(rule.description)} AS description, i,
+  CAST(line AS BIGINT) AS line, left(run || gap || nxt, {V.MATCH_CHARS}) AS match FROM rn
+  WHERE lower(run) = lower(nxt) AND regexp_full_match(run, '[{W}]+') AND regexp_full_match(gap, '[{WS}]+')),
+{EVERY_SECOND} SELECT doc_id, type, description, line, match FROM pr"""
 
 
 def _simple_matches() -> str:

@@ -280,6 +280,11 @@ def dup_locations(s, d):
     return dups.duplicate_locations(documents(s, d), lang=lang())
 
 
+def dup_locations_skew(s, d):
+    """With so few parts that blocks of both kinds, hot and not, are met in small tables."""
+    return dups.duplicate_locations(documents(s, d), lang=lang(), parts=300)
+
+
 def dup_smells(s, d):
     return dups.duplicate_smells(documents(s, d), lang=lang())
 
@@ -387,14 +392,18 @@ LINK = 'href="/([a-z]+)"'
 
 
 def _site(s, d):
-    """Pages as files: ``<section>/<id>.html``, the first page of a section its index."""
+    """Pages as files: ``<section>/<id>.html``, the first page of a section its index; with their links.
+
+    The links are read before the join, so the pages' texts stay where they are.
+    """
     section = F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1)
-    found = pages(s, d).withColumn("section", section)
+    found = pages(s, d).select("page_id", section.alias("section"),
+                               D.pattern_imports(F.col("html"), LINK).alias("links"))
     index = found.groupBy("section").agg(F.min("page_id").alias("first_page"))
     name = F.when(F.col("page_id") == F.col("first_page"), "index").otherwise(
         F.col("page_id").cast("string"))
     return found.join(index, "section").select(
-        "page_id", F.concat("section", F.lit("/"), name, F.lit(".html")).alias("path"), "html")
+        "page_id", F.concat("section", F.lit("/"), name, F.lit(".html")).alias("path"), "links")
 
 
 def deps_edges(s, d):
@@ -407,7 +416,7 @@ def link_nodes(s, d):
 
 def link_graph(s, d):
     site = _site(s, d)
-    edges = D.edges_of(site, D.pattern_imports(F.col("html"), LINK), ["path"])
+    edges = D.edges_of(site, F.col("links"), ["path"])
     return D.link_graph(site, edges, suffix=".html", package="/index.html")
 
 
@@ -422,7 +431,7 @@ def advisory_match(s, d):
 
 
 REGISTERED: tuple[Query, ...] = (
-    dup_blocks, dup_locations, dup_smells, dup_totals,
+    dup_blocks, dup_locations, dup_locations_skew, dup_smells, dup_totals,
     scan_filter, encoding_census, size_guard, language_of_path, path_parts,
     explode_lines, explode_breaks, line_classes, long_lines, file_stats, file_stats_default,
     corpus_totals, file_metrics, comment_density, comment_islands, commented_code,

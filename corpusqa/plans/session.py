@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from corpusqa.sources.tables import SPREAD
+
 # Names and values are Spark's own; a cluster's submit settings win over these.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,7 +25,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     """A single-machine session for tests and the benchmark."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.driver.memory", os.environ.get("CORPUSQA_DRIVER_MEMORY", memory))
-               .config("spark.sql.shuffle.partitions", str(partitions)))
+               .config("spark.sql.shuffle.partitions", str(partitions))
+               .config(SPREAD, str(cores if str(cores).isdigit() else partitions)))
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -84,10 +84,9 @@ def encoding_census(docs: DataFrame, content: Column) -> DataFrame:
 def with_share(counts: DataFrame, n: str) -> DataFrame:
     """Add ``percentage`` of the total, to one decimal.
 
-    ``counts`` is already aggregated to a handful of rows per label, which is
-    what the unpartitioned window sees.
+    The total is a scalar subquery: any number of labels stays where it is.
     """
-    total = F.sum(n).over(Window.partitionBy())
+    total = counts.agg(F.sum(n)).scalar()
     return counts.withColumn("percentage", F.bround(F.col(n) / total * 100, 1))
 
 

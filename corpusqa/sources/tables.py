@@ -10,26 +10,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Session setting: the number of partitions that ``spread`` deals tables to. Unset: as the files are split.
+SPREAD = "spark.corpusqa.spread"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that is too small to split itself.
+    """Deal a table that Spark cannot split to more tasks, where the session asks for it.
 
-    A large corpus comes in enough splits and is returned as it is; only input of
-    fewer files than cores, and of at most one full split per core, is
-    redistributed.
+    The test tables are one file with one row group each. A large corpus comes in enough
+    splits; its session leaves ``SPREAD`` unset and nothing is moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # The size comes first: the file list of a large corpus is never asked for.
-    if size <= cores * split and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
-
-
-def _bytes(setting: str) -> int:
-    text = setting.strip().lower().removesuffix("b")
-    for unit, factor in (("k", 2**10), ("m", 2**20), ("g", 2**30)):
-        if text.endswith(unit):
-            return int(text[:-1]) * factor
-    return int(text)
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df

@@ -10,6 +10,7 @@ from check_oracle import compare, connect
 from corpusqa import values as V
 from corpusqa.operators import lines as L, metrics as M, rules as R
 from corpusqa.plans import queries as Q
+from corpusqa.sources.tables import SPREAD
 from corpusqa.streaming import scan
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +29,7 @@ def test_entry(spark):
 def test_only_known_queries_go_without_sql():
     # The training-data queries, where they are present, have tests of their own.
     own = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
-    assert own - set(entry.oracle_sql()) == {"self_assignment", "file_details_json"}
+    assert own - set(entry.oracle_sql()) == {"file_details_json"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -74,3 +75,34 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_progress_goes_to_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert scan.progress_folder(spark, "x") == f"{root}/streams/x"
+
+
+def test_every_default_rule_marker_and_word_is_hit(spark):
+    folder = "/root/testdata/sf0.01"
+    found = {name: entry.queries()[name](spark, folder)
+             for name in ("default_rules", "default_simple_code", "default_markers", "default_keywords")}
+    assert {tuple(r) for r in found["default_rules"].select("type", "description").distinct().collect()} == {
+        (r.name, r.description) for r in V.ISSUE_RULES}
+    for name, column, values in (("default_simple_code", "type", [r.name for r in V.SIMPLE_CODE_RULES]),
+                                 ("default_markers", "marker", V.TASK_MARKERS),
+                                 ("default_keywords", "keyword", V.KEYWORDS)):
+        assert {r[0] for r in found[name].select(column).distinct().collect()} == set(values)
+
+
+def test_skew_query_meets_both_kinds_of_blocks(spark):
+    rows = entry.queries()["dup_locations_skew"](spark, "/root/testdata/sf0.01").collect()
+    limit = len(rows) / 300
+    assert any(r.n_locations > limit for r in rows) and any(r.n_locations <= limit for r in rows)
+
+
+def test_page_texts_are_not_shuffled_for_links(spark):
+    spark.conf.unset(SPREAD)
+    try:
+        plan = entry.queries()["link_graph"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(SPREAD, "8")
+    above = [x for x in plan.splitlines() if "Exchange" in x]
+    assert above and "html" not in "".join(above)
+    for part in plan.split("Exchange")[1:]:
+        below = part.splitlines()[1]
+        assert "html#" not in below or "regexp_extract_all(html" in below
