@@ -6,7 +6,8 @@ words) word edits of the item.
 1. *Gate.* A passage within ``d`` edits of an item of ``w`` words keeps at least ``w - 2 - 3 d`` of its
    three-word runs. Window starts with fewer runs of any item ahead of them are left out; this loses nothing.
 2. *Embedding.* From each remaining start, and for each class of item sizes, CGK random walks copy words and advance
-   by one on a random bit of (step, word): few edits become few differing places.
+   by one on a random bit of (step, word): few edits become few differing places. Words that no item has walk on
+   their own hashes too.
 3. *Sampling.* Each table hashes a few sampled places of a walk. Windows and items that agree in a table are
    candidates; walks and tables repeat until the target recall is reached (tests measure it).
 4. *Verification.* Candidates are aligned exactly: least edits between the item and any passage around the window.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import mix
+from corpusqa.llm.shared import WordHashes, mix
 
 U64 = np.uint64
 HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
@@ -71,8 +72,9 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str | None]], max_edits: float = 0.2, walks: int = 8, tables: int = 8, places: int = 3, seed: int = 7):
         self.max_edits = max_edits
         split = [(i, plain_words(t)) for i, t in items]
-        #: Words of the items. All others are 0: they equal no word of an item.
+        #: Words of the items. For the gate, all others are 0: they equal no word of an item.
         self.known = {w: U64(xxhash.xxh3_64_intdigest(w) | 1) for _, ws in split for w in ws}
+        self.others = WordHashes()
         words = [(i, self._numbers(ws)) for i, ws in split]
         self.items = [(i, w) for i, w in words if len(w) > 2]
         self.edits = [int(max_edits * len(w) + 1e-9) for _, w in self.items]
@@ -100,6 +102,12 @@ class Matcher:
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.known.get, words, repeat(0)), dtype=np.uint64, count=len(words))
 
+    def _filled(self, words: np.ndarray, split: list[bytes]) -> np.ndarray:
+        """``words`` with hashes for those that no item has, so that walks go on over them."""
+        at = np.flatnonzero(words == 0)
+        words[at] = self.others.of([split[k] for k in at]) | U64(1)
+        return words
+
     def _hits(self, words: np.ndarray) -> np.ndarray:
         """Places where a three-word run of an item begins."""
         at = np.flatnonzero(words)
@@ -137,27 +145,30 @@ class Matcher:
         if not self.items:
             return out
         least = min(c[2] for c in self.classes)
-        docs, own, size = [], [], 0
+        docs, own, gate, size = [], [], [], 0
         for k, text in enumerate(texts):
-            words = self._numbers(plain_words(text))
-            if len(words) > 2 and len(self._hits(words)) >= least:
+            split = plain_words(text)
+            words = self._numbers(split)
+            hits = self._hits(words)
+            if len(words) > 2 and len(hits) >= least:
                 docs.append(k)
-                own.append(words)
+                own.append(self._filled(words, split))
+                gate.append(hits)
                 size += len(words) + self.pad
                 if size > _TOGETHER:
-                    self._search(docs, own, out)
-                    docs, own, size = [], [], 0
+                    self._search(docs, own, gate, out)
+                    docs, own, gate, size = [], [], [], 0
         if docs:
-            self._search(docs, own, out)
+            self._search(docs, own, gate, out)
         return out
 
-    def _search(self, docs: list[int], own: list[np.ndarray], out: list[list[dict]]) -> None:
-        """Adds to ``out`` at ``docs`` what is found in their words."""
+    def _search(self, docs: list[int], own: list[np.ndarray], gate: list[np.ndarray], out: list[list[dict]]) -> None:
+        """Adds to ``out`` at ``docs`` what is found in their words, where items' runs begin at ``gate``."""
         gap = np.zeros(self.pad, U64)
         words = np.concatenate([x for w in own for x in (w, gap)])
         base = np.cumsum([0, *(len(w) + self.pad for w in own)])
         hit = np.zeros(len(words) + 1, np.int64)
-        hit[self._hits(words) + 1] = 1
+        hit[np.concatenate([at + b for at, b in zip(gate, base)]) + 1] = 1
         before = np.cumsum(hit)
         found: set[tuple[int, int]] = set()
         for _, window, need, stride, odd, at, signs, members in self.classes:

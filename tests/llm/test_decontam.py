@@ -69,6 +69,26 @@ def test_recall_and_precision():
     assert want > 60 and got >= 0.97 * want and close == got
 
 
+def recall(size, share, seed=5, trials=100, known=False):
+    """Share of items of ``size`` words that are found with ``share`` edits, in and among words that no item has."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    others = vocabulary if known else [f"u{i}" for i in range(100_000)]
+    asked = [(i, " ".join(rng.choices(vocabulary, k=size))) for i in range(20)]
+    put, texts = [], []
+    for _ in range(trials):
+        i, item = rng.choice(asked)
+        words = damaged(rng, item.split(), int(share * size), others)
+        put.append(i)
+        texts.append(" ".join(rng.choices(others, k=rng.randrange(1, 90)) + words + rng.choices(others, k=rng.randrange(90))))
+    found = decontam.Matcher(asked).of(texts)
+    return sum(i in [r["item_id"] for r in rows] for i, rows in zip(put, found)) / trials
+
+
+def test_recall_among_words_of_no_item():
+    assert all(recall(30, share) >= 0.95 for share in (0.0, 0.1, 0.2))
+
+
 def test_aligned():
     item, text = np.array([1, 2, 3, 4], np.uint64), np.array([9, 1, 2, 7, 4, 9], np.uint64)
     assert decontam.aligned(item, text) == (1, 1, 5)
