@@ -3,13 +3,16 @@
 A benchmark item contaminates a document if a passage of it is within ``max_edits`` (a share of the item's
 words) word edits of the item.
 
+Long items are searched by pieces: of ``m`` pieces of an item, one at least has no more than an ``m``-th of its edits.
+
 1. *Gate.* A passage within ``d`` edits of an item of ``w`` words keeps at least ``w - 2 - 3 d`` of its
    three-word runs. Window starts with fewer runs of any item ahead of them are left out; this loses nothing.
-2. *Embedding.* From each remaining start, and for each class of item sizes, CGK random walks copy words and advance
+2. *Embedding.* From each remaining start, and for each class of piece sizes, CGK random walks copy words and advance
    by one on a random bit of (step, word): few edits become few differing places. Words that no item has walk on
    their own hashes too.
-3. *Sampling.* Each table hashes a few sampled places of a walk. Windows and items that agree in a table are
-   candidates; walks and tables repeat until the target recall is reached (tests measure it).
+3. *Sampling.* Each table hashes a few sampled places of a walk. Windows and pieces that agree in a table are
+   candidates; walks repeat until edited passages of the class's size are found at the target recall, which is
+   computed on random ones with the most edits that a piece may have (``_rounds``; tests measure whole items).
 4. *Verification.* Candidates are aligned exactly: least edits between the item and any passage around the window.
 
 Items come in blocks of bounded number, each one pass in the same scan. Documents never meet: there is no shuffle.
@@ -18,7 +21,7 @@ Items come in blocks of bounded number, each one pass in the same scan. Document
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -33,6 +36,8 @@ U64 = np.uint64
 HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
 #: Words that are searched together.
 _TOGETHER = 1_000_000
+#: Most words of a piece of an item.
+_PIECE = 32
 _SIGNS = b".,;:!?\"'()[]{}"
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SIGNS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_SIGNS))
 
@@ -47,6 +52,12 @@ def _runs(words: np.ndarray) -> np.ndarray:
     return mix(mix(mix(words[:-2]) + words[1:-1]) + words[2:]) if len(words) > 2 else np.zeros(0, U64)
 
 
+def _spread(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``x`` once for each index from its ``first`` to before its ``last``, and these indices."""
+    n = last - first
+    return np.repeat(x, n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end) of the passage of ``text`` nearest to ``item``; the first end, then the shortest passage."""
 
@@ -66,10 +77,40 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(ends[end]), end - int(back.argmin()), end
 
 
+@cache
+def _rounds(size: int, edits: int, tables: int, places: int, recall: float, most: int = 256, trials: int = 1000) -> int:
+    """Walks after which ``recall`` of random passages are found that are ``edits`` from a piece of ``size`` words,
+    if only the walk from their first word counts; 0 if ``most`` do not do."""
+    rng = np.random.default_rng(size * 1000 + edits)
+    steps = max(places, int(1.5 * size))
+    draw = lambda *shape: rng.integers(1, 1 << 63, shape, dtype=np.uint64) | U64(1)
+    item = np.concatenate([draw(trials, size), np.zeros((trials, steps + 1), U64)], axis=1)
+    text = draw(trials, size + edits + steps + 1)
+    for t in range(trials):
+        words = item[t, :size].tolist()
+        for kind, new in zip(rng.integers(0, 3, edits).tolist(), draw(edits).tolist()):
+            at = int(rng.integers(0, max(1, len(words))))
+            words[at : at + (kind != 2)] = [] if kind == 1 else [new]
+        text[t, : len(words)] = words
+    row, found = np.arange(trials), np.zeros(trials, bool)
+    for r in range(most):
+        a, b, same = np.zeros(trials, np.int64), np.zeros(trials, np.int64), []
+        for odd in draw(steps):
+            x, y = item[row, a], text[row, b]
+            same.append(x == y)
+            a, b = a + ((x * odd) >> U64(63)).astype(np.int64), b + ((y * odd) >> U64(63)).astype(np.int64)
+        same = np.stack(same)
+        for _ in range(tables):
+            found |= same[rng.choice(steps, places, replace=False)].all(axis=0)
+        if found.mean() >= recall:
+            return r + 1
+    return 0
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], max_edits: float = 0.2, walks: int = 8, tables: int = 8, places: int = 3, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str | None]], max_edits: float = 0.2, recall: float = 0.995, tables: int = 8, places: int = 3, seed: int = 7):
         self.max_edits = max_edits
         split = [(i, plain_words(t)) for i, t in items]
         #: Words of the items. For the gate, all others are 0: they equal no word of an item.
@@ -83,21 +124,30 @@ class Matcher:
         self.runs = np.unique(np.concatenate([_runs(w) for _, w in self.items]))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.runs & U64((1 << 22) - 1)] = True
-        self.longest = max(len(w) for _, w in self.items)
-        self.pad = 2 * self.longest + 4
+        self.pad = 2 * _PIECE + 4
+        flat = np.concatenate([x for _, w in self.items for x in (w, np.zeros(self.pad, U64))])
+        base = np.cumsum([0, *(len(w) + self.pad for _, w in self.items)])
+        #: (item, first word, words, edits)
+        self.pieces = [p for k in range(len(self.items)) for p in self._pieces(k)]
+        self.owner, self.offset = (np.array([p[c] for p in self.pieces], np.int64) for c in (0, 1))
         rng = np.random.default_rng(seed)
         self.classes = []
         for members in self._sizes():
-            lo, hi = (f(len(self.items[k][1]) for k in members) for f in (min, max))
-            need = max(1, min(len(self.items[k][1]) - 2 - 3 * self.edits[k] for k in members))
-            steps = max(places, int(1.5 * lo))
+            lo, hi = (f(self.pieces[p][2] for p in members) for f in (min, max))
+            edits = max(self.pieces[p][3] for p in members)
+            need = max(1, min(self.pieces[p][2] - 2 - 3 * self.pieces[p][3] for p in members))
+            steps, walks = max(places, int(1.5 * lo)), _rounds(lo, edits, tables, places, recall) or 256
             odd = rng.integers(1, 1 << 63, (walks, steps), dtype=np.uint64) | U64(1)
             at = np.stack([np.stack([np.sort(rng.choice(steps, places, replace=False)) for _ in range(tables)]) for _ in range(walks)])
-            flat = np.concatenate([np.concatenate([self.items[k][1], np.zeros(self.pad, U64)]) for k in members])
-            starts = np.cumsum([0, *(len(self.items[k][1]) + self.pad for k in members)][:-1])
-            signs = self._signs(flat, starts, odd, at)  # (walks * tables, members)
+            signs = self._signs(flat, base[self.owner[members]] + self.offset[members], odd, at)  # (walks * tables, members)
             order = np.argsort(signs, axis=1)
-            self.classes.append((lo, hi + int(max_edits * hi), need, max(1, lo // 12), odd, at, np.take_along_axis(signs, order, 1), np.array(members)[order]))
+            self.classes.append((hi + edits, need, odd, at, np.take_along_axis(signs, order, 1), np.array(members)[order]))
+
+    def _pieces(self, k: int) -> list[tuple[int, int, int, int]]:
+        size = len(self.items[k][1])
+        m = -(-size // _PIECE)
+        cuts = [size * j // m for j in range(m + 1)]
+        return [(k, a, b - a, self.edits[k] // m) for a, b in zip(cuts, cuts[1:])]
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.known.get, words, repeat(0)), dtype=np.uint64, count=len(words))
@@ -118,13 +168,13 @@ class Matcher:
         return at[self.runs[np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)] == run]
 
     def _sizes(self) -> list[list[int]]:
-        """Items of about the same size, smallest first."""
+        """Pieces of about the same size, smallest first."""
         out: list[list[int]] = []
-        for k in sorted(range(len(self.items)), key=lambda k: len(self.items[k][1])):
-            if out and len(self.items[k][1]) <= 1.15 * len(self.items[out[-1][0]][1]):
-                out[-1].append(k)
+        for p in sorted(range(len(self.pieces)), key=lambda p: self.pieces[p][2]):
+            if out and self.pieces[p][2] <= 1.15 * self.pieces[out[-1][0]][2]:
+                out[-1].append(p)
             else:
-                out.append([k])
+                out.append([p])
         return out
 
     def _signs(self, words: np.ndarray, starts: np.ndarray, odd: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -144,7 +194,7 @@ class Matcher:
         out: list[list[dict]] = [[] for _ in texts]
         if not self.items:
             return out
-        least = min(c[2] for c in self.classes)
+        least = min(c[1] for c in self.classes)
         docs, own, gate, size = [], [], [], 0
         for k, text in enumerate(texts):
             split = plain_words(text)
@@ -170,31 +220,36 @@ class Matcher:
         hit = np.zeros(len(words) + 1, np.int64)
         hit[np.concatenate([at + b for at, b in zip(gate, base)]) + 1] = 1
         before = np.cumsum(hit)
-        found: set[tuple[int, int]] = set()
-        for _, window, need, stride, odd, at, signs, members in self.classes:
+        codes = [np.zeros(0, np.int64)]
+        for window, need, odd, at, signs, members in self.classes:
             ends = np.minimum(np.arange(len(before)) + max(1, window - 2), len(before) - 1)
             starts = np.flatnonzero(before[ends] - before >= need)
-            starts = starts[(starts % stride == 0) & (starts < len(words) - self.pad)]
+            starts = starts[starts < len(words)]
+            starts = starts[words[starts] != 0]
             for k in range(0, len(starts), 1 << 14):
-                some = starts[k : k + (1 << 14)]
+                some, pairs = starts[k : k + (1 << 14)], []
                 for mine, theirs, who in zip(self._signs(words, some, odd, at), signs, members):
                     first, last = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
-                    for x in np.flatnonzero(last > first):
-                        found.update((int(m), int(some[x])) for m in who[first[x] : last[x]])
+                    x = np.flatnonzero(last > first)
+                    own_x, which = _spread(x, first[x], last[x])
+                    pairs.append(who[which] * len(words) + some[own_x])
+                codes.append(np.unique(np.concatenate(pairs)))
+        piece, start = np.divmod(np.concatenate(codes), len(words))
+        doc, member, start = np.searchsorted(base, start, "right") - 1, self.owner[piece], start - self.offset[piece]
         regions: dict[tuple[int, int], list[list[int]]] = {}
-        for member, start in sorted(found):
-            doc = int(np.searchsorted(base, start, "right")) - 1
-            size = len(self.items[member][1])
-            spans = regions.setdefault((doc, member), [])
-            if spans and start - spans[-1][1] <= size:
-                spans[-1][1] = start
+        for d, m, at in np.unique(np.stack([doc, member, start], axis=1), axis=0).tolist():
+            spans = regions.setdefault((d, m), [])
+            if spans and at - spans[-1][1] <= len(self.items[m][1]):
+                spans[-1][1] = at
             else:
-                spans.append([start, start])
+                spans.append([at, at])
         for (doc, member), spans in regions.items():
             item, most = self.items[member][1], self.edits[member]
             best = None
             for low, high in spans:
-                a, b = max(base[doc], low - len(item) // 2 - most), min(base[doc] + len(own[doc]), high + 2 * len(item) + most)
+                a, b = max(base[doc], low - len(item) - most), min(base[doc] + len(own[doc]), high + len(item) + 2 * most + _PIECE)
+                if np.isin(_runs(words[a:b]), _runs(item)).sum() < len(item) - 2 - 3 * most:
+                    continue  # the gate's bound, for this item's own runs
                 edits, start, end = aligned(item, words[a:b])
                 if best is None or edits < best[0]:
                     best = (edits, start + a - base[doc], end + a - base[doc])
@@ -205,7 +260,7 @@ class Matcher:
 def with_hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, block: int = 20_000) -> DataFrame:
     """``docs`` with ``hits``: for each item found, its id, the edits and the words [start, end) of the nearest passage.
 
-    ``items`` has (item_id, text). It is read ``block`` items at a time; a block is all that is sent to the
+    ``items`` has (item_id, text). It is read ``block`` items (or 300 letters for each) at a time; a block is all that is sent to the
     executors at once. Signs read as white space, A-Z are lower-cased. Whole texts are read.
 
     Items of fewer than three words (null and empty too) or without an id: never found. Null or empty text: no
@@ -213,7 +268,8 @@ def with_hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, block:
     hits, no rows. A column ``hits`` of ``docs`` is replaced.
     """
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    blocks = max(1, -(-asked.count() // block))
+    n, letters = asked.agg(F.count("*"), F.sum(F.length("text"))).first()
+    blocks = max(1, -(-n // block), -(-(letters or 0) // (300 * block)))
     found = []
     for k in range(blocks):
         mine = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]

@@ -89,6 +89,18 @@ def test_recall_among_words_of_no_item():
     assert all(recall(30, share) >= 0.95 for share in (0.0, 0.1, 0.2))
 
 
+def test_recall_of_long_items():
+    for size in (100, 250, 500):
+        assert recall(size, 0.2, trials=60) >= 0.97 and recall(size, 0.2, trials=60, known=True) >= 0.97
+        assert recall(size, 0.0, trials=60) == 1
+
+
+def test_hits_do_not_depend_on_other_documents():
+    asked, texts = case(seed=4, docs=60)
+    matcher = decontam.Matcher(asked)
+    assert matcher.of(texts) == [rows for text in texts for rows in matcher.of([text])]
+
+
 def test_aligned():
     item, text = np.array([1, 2, 3, 4], np.uint64), np.array([9, 1, 2, 7, 4, 9], np.uint64)
     assert decontam.aligned(item, text) == (1, 1, 5)
