@@ -6,7 +6,10 @@ words) word edits of the item.
 Long items are searched by pieces: of ``m`` pieces of an item, one at least has no more than an ``m``-th of its edits.
 
 1. *Gate.* A passage within ``d`` edits of an item of ``w`` words keeps at least ``w - 2 - 3 d`` of its
-   three-word runs. Window starts with fewer runs of any item ahead of them are left out; this loses nothing.
+   three-word runs. Window starts with fewer runs of any item ahead of them are left out; this loses nothing. Where
+   that bound is below 1, or no number of walks reaches the target recall, and for items under ``_SHORT`` words,
+   steps 2 and 3 are left out: a window is a candidate if it has as many of the item's own runs (of three, two or
+   one words) as such a bound asks for, which loses nothing either. Items of one or two words are not searched.
 2. *Embedding.* From each remaining start, and for each class of piece sizes, CGK random walks copy words and advance
    by one on a random bit of (step, word): few edits become few differing places. Words that no item has walk on
    their own hashes too.
@@ -38,6 +41,8 @@ HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
 _TOGETHER = 1_000_000
 #: Most words of a piece of an item.
 _PIECE = 32
+#: Items of fewer words are found by their own runs, without walks.
+_SHORT = 10
 _SIGNS = b".,;:!?\"'()[]{}"
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _SIGNS, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_SIGNS))
 
@@ -47,9 +52,14 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_PLAIN).split() if text else []
 
 
-def _runs(words: np.ndarray) -> np.ndarray:
-    """A hash for each three words in a row."""
-    return mix(mix(mix(words[:-2]) + words[1:-1]) + words[2:]) if len(words) > 2 else np.zeros(0, U64)
+def _runs(words: np.ndarray, n: int = 3) -> np.ndarray:
+    """A hash for each ``n`` words in a row."""
+    if len(words) < n:
+        return np.zeros(0, U64)
+    out = mix(words[: len(words) - n + 1])
+    for k in range(1, n):
+        out = mix(out + words[k : len(words) - n + 1 + k])
+    return out
 
 
 def _spread(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,21 +138,63 @@ class Matcher:
         flat = np.concatenate([x for _, w in self.items for x in (w, np.zeros(self.pad, U64))])
         base = np.cumsum([0, *(len(w) + self.pad for _, w in self.items)])
         #: (item, first word, words, edits)
-        self.pieces = [p for k in range(len(self.items)) for p in self._pieces(k)]
+        #: Items that are found by their own runs: of how many words, and how many of them.
+        self.direct = {k: self._bound(k) for k, (_, w) in enumerate(self.items) if len(w) < _SHORT}
+        self.pieces = [p for k in range(len(self.items)) if k not in self.direct for p in self._pieces(k)]
+        for p in self.pieces:
+            if p[2] - 2 - 3 * p[3] < 1:
+                self.direct[p[0]] = self._bound(p[0])
+        self.pieces = [p for p in self.pieces if p[0] not in self.direct]
         self.owner, self.offset = (np.array([p[c] for p in self.pieces], np.int64) for c in (0, 1))
         rng = np.random.default_rng(seed)
         self.classes = []
         for members in self._sizes():
             lo, hi = (f(self.pieces[p][2] for p in members) for f in (min, max))
             edits = max(self.pieces[p][3] for p in members)
-            need = max(1, min(self.pieces[p][2] - 2 - 3 * self.pieces[p][3] for p in members))
-            steps, walks = max(places, int(1.5 * lo)), _rounds(lo, edits, tables, places, recall) or 256
+            need = min(self.pieces[p][2] - 2 - 3 * self.pieces[p][3] for p in members)
+            steps, walks = max(places, int(1.5 * lo)), _rounds(lo, edits, tables, places, recall)
+            if not walks:
+                self.direct |= {self.pieces[p][0]: self._bound(self.pieces[p][0]) for p in members}
+                continue
             odd = rng.integers(1, 1 << 63, (walks, steps), dtype=np.uint64) | U64(1)
             at = np.stack([np.stack([np.sort(rng.choice(steps, places, replace=False)) for _ in range(tables)]) for _ in range(walks)])
             signs = self._signs(flat, base[self.owner[members]] + self.offset[members], odd, at)  # (walks * tables, members)
             order = np.argsort(signs, axis=1)
             self.classes.append((hi + edits, need, odd, at, np.take_along_axis(signs, order, 1), np.array(members)[order]))
 
+        #: For each run length: sorted runs of the items found by them, and whose they are.
+        self.short = {}
+        self.asked = np.array([self.direct.get(k, (0, 0))[1] for k in range(len(self.items))], np.int64)
+        self.reach = np.array([len(w) + e for (_, w), e in zip(self.items, self.edits)], np.int64)
+        for n in sorted({n for n, _ in self.direct.values()}):
+            mine = [(np.unique(_runs(self.items[k][1], n)), k) for k, (m, _) in self.direct.items() if m == n]
+            run, who = np.concatenate([x for x, _ in mine]), np.repeat([k for _, k in mine], [len(x) for x, _ in mine])
+            order = np.argsort(run, kind="stable")
+            self.short[n] = run[order], who[order]
+
+    def _bound(self, k: int) -> tuple[int, int]:
+        """The longest runs, of three words at most, of which a passage must keep any, and how many it keeps."""
+        size, most = len(self.items[k][1]), self.edits[k]
+        return next(((n, size - n + 1 - n * most) for n in (3, 2) if size - n + 1 - n * most > 0), (1, max(1, size - most)))
+
+    def _near(self, words: np.ndarray) -> np.ndarray:
+        """(item, place) of runs from which on there are as many of the item's own as its bound asks for."""
+        out = [np.zeros((0, 2), np.int64)]
+        for n, (runs, owner) in self.short.items():
+            run = _runs(words, n)
+            first, last = np.searchsorted(runs, run, "left"), np.searchsorted(runs, run, "right")
+            x = np.flatnonzero(last > first)
+            at, which = _spread(x, first[x], last[x])
+            who = owner[which]
+            order = np.lexsort((at, who))
+            at, who = at[order], who[order]
+            need, longest = self.asked[who], self.reach[who]
+            end = np.arange(len(who)) + need - 1
+            held = np.minimum(end, len(who) - 1)
+            ok = (end < len(who)) & (who[held] == who) & (at[held] - at <= longest - n)
+            out.append(np.stack([who[ok], at[ok]], axis=1))
+        return np.concatenate(out)
+
     def _pieces(self, k: int) -> list[tuple[int, int, int, int]]:
         size = len(self.items[k][1])
         m = -(-size // _PIECE)
@@ -194,26 +246,29 @@ class Matcher:
         out: list[list[dict]] = [[] for _ in texts]
         if not self.items:
             return out
-        least = min(c[1] for c in self.classes)
-        docs, own, gate, size = [], [], [], 0
+        least = min((c[1] for c in self.classes), default=None)
+        docs, own, gate, near, size = [], [], [], [], 0
         for k, text in enumerate(texts):
             split = plain_words(text)
             words = self._numbers(split)
             hits = self._hits(words)
-            if len(words) > 2 and len(hits) >= least:
+            close = self._near(words)
+            if len(close) or (least is not None and len(hits) >= least):
                 docs.append(k)
                 own.append(self._filled(words, split))
                 gate.append(hits)
+                near.append(close)
                 size += len(words) + self.pad
                 if size > _TOGETHER:
-                    self._search(docs, own, gate, out)
-                    docs, own, gate, size = [], [], [], 0
+                    self._search(docs, own, gate, near, out)
+                    docs, own, gate, near, size = [], [], [], [], 0
         if docs:
-            self._search(docs, own, gate, out)
+            self._search(docs, own, gate, near, out)
         return out
 
-    def _search(self, docs: list[int], own: list[np.ndarray], gate: list[np.ndarray], out: list[list[dict]]) -> None:
-        """Adds to ``out`` at ``docs`` what is found in their words, where items' runs begin at ``gate``."""
+    def _search(self, docs: list[int], own: list[np.ndarray], gate: list[np.ndarray], near: list[np.ndarray], out: list[list[dict]]) -> None:
+        """Adds to ``out`` at ``docs`` what is found in their words, where items' runs begin at ``gate``, and
+        around ``near`` (item, place)."""
         gap = np.zeros(self.pad, U64)
         words = np.concatenate([x for w in own for x in (w, gap)])
         base = np.cumsum([0, *(len(w) + self.pad for w in own)])
@@ -236,8 +291,10 @@ class Matcher:
                 codes.append(np.unique(np.concatenate(pairs)))
         piece, start = np.divmod(np.concatenate(codes), len(words))
         doc, member, start = np.searchsorted(base, start, "right") - 1, self.owner[piece], start - self.offset[piece]
+        places = [np.stack([doc, member, start], axis=1)]
+        places += [np.column_stack([np.full(len(x), d), x[:, 0], x[:, 1] + base[d]]) for d, x in enumerate(near) if len(x)]
         regions: dict[tuple[int, int], list[list[int]]] = {}
-        for d, m, at in np.unique(np.stack([doc, member, start], axis=1), axis=0).tolist():
+        for d, m, at in np.unique(np.concatenate(places), axis=0).tolist():
             spans = regions.setdefault((d, m), [])
             if spans and at - spans[-1][1] <= len(self.items[m][1]):
                 spans[-1][1] = at
@@ -263,7 +320,7 @@ def with_hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, block:
     ``items`` has (item_id, text). It is read ``block`` items (or 300 letters for each) at a time; a block is all that is sent to the
     executors at once. Signs read as white space, A-Z are lower-cased. Whole texts are read.
 
-    Items of fewer than three words (null and empty too) or without an id: never found. Null or empty text: no
+    Items of one or two words, which say too little to be a leak, and of none (null and empty) or without an id: never found. Null or empty text: no
     hits. Null doc_id, repeated rows: each row by itself. Items that repeat an id are found each. Empty tables: no
     hits, no rows. A column ``hits`` of ``docs`` is replaced.
     """

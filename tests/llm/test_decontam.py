@@ -101,6 +101,19 @@ def test_hits_do_not_depend_on_other_documents():
     assert matcher.of(texts) == [rows for text in texts for rows in matcher.of([text])]
 
 
+def test_short_items_are_found_whole():
+    found = decontam.Matcher([(1, "a b c d e"), (2, "k l m")]).of(["x a b X d e y", "a b c X e", "b c d e k l m", "a X c Y e", "k l X m"])
+    assert [[(r["item_id"], r["edits"]) for r in rows] for rows in found] == [[(1, 1)], [(1, 1)], [(1, 1), (2, 0)], [], []]
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(12)]
+    for most in (0.2, 0.5):
+        asked = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 13)))) for i in range(40)]
+        texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 40))) for _ in range(60)]
+        for text, rows in zip(texts, decontam.Matcher([x for x in asked if len(x[1].split()) < 10], most).of(texts)):
+            want = {i for i, x in asked if len(x.split()) < 10 and edits(x.split(), text.split()) <= int(most * len(x.split()) + 1e-9)}
+            assert {r["item_id"] for r in rows} == want
+
+
 def test_aligned():
     item, text = np.array([1, 2, 3, 4], np.uint64), np.array([9, 1, 2, 7, 4, 9], np.uint64)
     assert decontam.aligned(item, text) == (1, 1, 5)
