@@ -41,15 +41,21 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return rule, verdict
 
 
-def templates(paths: DataFrame, min_rows: int = 5, min_share: float = 0.01, depth: int = 8) -> DataFrame:
-    """``paths`` (host, path, n, blocked, allowed) with ``template``. Segments below ``depth`` are one ``**``."""
+def templates(paths: DataFrame, min_rows: int = 5, min_share: float = 0.01, depth: int | None = None) -> DataFrame:
+    """``paths`` (host, path, n, blocked, allowed) with ``template``. Levels go on while a branch has ``min_rows`` rows
+    below it; with fewer, all its segments are variable. Segments below ``depth``, if that is given, are one ``**``."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = kept(paths.withColumns({"parts": parts, "branch": F.col("host")}), "paths")
-    levels = min(depth, (rows.agg(F.max(F.size("parts"))).first()[0] or 0))
+    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
+    levels = deepest if depth is None else min(depth, deepest)
     sums = lambda: [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
     for d in range(levels):
         part = F.get("parts", F.lit(d))
         inner = rows.where(F.size("parts") > d)
+        if inner.groupBy("branch").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows).isEmpty():
+            rest = F.least(F.size("parts"), F.lit(levels)) - d
+            rows = rows.withColumn("branch", F.concat("branch", F.repeat(F.lit("/*"), F.greatest(rest, F.lit(0)))))
+            break
         children = inner.groupBy("branch", part.alias("part")).agg(*sums())
         of = children.groupBy("branch").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
         usual = children.join(of, "branch").where((F.col("n") >= min_rows) & (F.col("n") >= min_share * F.col("all_n")))
