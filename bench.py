@@ -15,7 +15,7 @@ import statistics
 import sys
 import time
 
-from corpusqa.plans import derived
+from corpusqa.plans import derived, extended
 from corpusqa.plans.queries import registry
 from corpusqa.plans.session import local_session
 
@@ -32,7 +32,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8)
-    queries = registry(derived.REGISTERED)
+    queries = registry((*derived.REGISTERED, *extended.REGISTERED))
     names = list(queries) if "--all" in sys.argv else HEADLINE
     result: dict[str, float] = {}
     for name in names:

@@ -14,17 +14,31 @@ from corpusqa.functions.text import let, lines, strip
 
 SENTINEL = "\u0001"
 END = "\u0002"
-STAND_IN = "\u0003"
+# A text that has these characters itself is searched with each written as two others.
+_ESCAPE = "\u0003"
+_ESCAPED = ((_ESCAPE, _ESCAPE + "\u0005"), (SENTINEL, _ESCAPE + "\u0004"), (END, _ESCAPE + "\u0006"))
 
 
 def unmarked(text: Column) -> Column:
     """The text without the sentinel, ready to be marked."""
-    return F.translate(text, SENTINEL + END, STAND_IN * 2)
+    out = text
+    for char, pair in _ESCAPED:
+        out = F.replace(out, F.lit(char), F.lit(pair))
+    return F.when(text.rlike(f"[{SENTINEL}{END}{_ESCAPE}]"), out).otherwise(text)
 
 
-def mark(clean: Column, pattern: str) -> Column:
-    """Write the sentinel in front of every match."""
-    return F.regexp_replace(clean, pattern, SENTINEL + "$0")
+def restored(text: Column) -> Column:
+    """What ``unmarked`` has written for a text, or for a part of it, as it was."""
+    out = text
+    for char, pair in reversed(_ESCAPED):
+        out = F.replace(out, F.lit(pair), F.lit(char))
+    return F.when(text.contains(_ESCAPE), out).otherwise(text)
+
+
+def mark(clean: Column, pattern: str, lead: bool = False) -> Column:
+    """Write the sentinel in front of every match.  With ``lead`` the match is the pattern's group ``hit``, and a
+    group ``lead`` stands before it."""
+    return F.regexp_replace(clean, pattern, f"${{lead}}{SENTINEL}${{hit}}" if lead else SENTINEL + "$0")
 
 
 def _hit_rows(marked: Column) -> Column:
@@ -41,7 +55,7 @@ def hit_lines(marked: Column) -> Column:
     return F.transform(_hit_rows(marked), lambda h: F.struct(
         h["line"].alias("line"),
         _count(h["raw"]).alias("n"),
-        strip(F.replace(h["raw"], F.lit(SENTINEL), F.lit(""))).alias("context"),
+        strip(restored(F.replace(h["raw"], F.lit(SENTINEL), F.lit("")))).alias("context"),
     ))
 
 
@@ -51,7 +65,7 @@ def matches(text: Column, pattern: str) -> Column:
         starts = F.flatten(F.transform(
             _hit_rows(marked), lambda h: F.array_repeat(h["line"], _count(h["raw"]))))
         found = F.regexp_extract_all(marked, F.lit(f"{SENTINEL}([^{END}]*+)"), F.lit(1))
-        return F.zip_with(starts, found, lambda n, m: F.struct(n.alias("line"), m.alias("text")))
+        return F.zip_with(starts, found, lambda n, m: F.struct(n.alias("line"), restored(m).alias("text")))
 
     return let(F.regexp_replace(unmarked(text), pattern, SENTINEL + "$0" + END), read)
 

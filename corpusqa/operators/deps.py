@@ -11,6 +11,7 @@ from corpusqa.functions.blanking import blank_python
 from corpusqa.functions.patterns import AFTER_WORD, WORD, java
 from corpusqa.operators import paths as P
 from corpusqa.operators.skew import attach
+from corpusqa.sources.tables import written
 
 _MODULE = f"[{WORD}.]"
 
@@ -93,27 +94,30 @@ def _base_path(path: Column, module: Column, root: str) -> Column:
                        F.when(name != "", name))
 
 
+def path_key(path: Column) -> Column:
+    """16 bytes that stand for a path, so that paths are compared and shuffled at one width."""
+    return F.unhex(F.md5(path))
+
+
 def link_graph(files: DataFrame, deps: DataFrame, path: str = "path", root: str = "",
                suffix: str = ".py", package: str = "/__init__.py") -> DataFrame:
     """Edges between files: from_path, to_path.
 
     A module is the file ``<module><suffix>``, or else ``<module><package>``, of
-    the corpus.  Modules are resolved once each, not once per import, so a
+    the corpus.  Modules are resolved once each, not once per import, into a written table, so a
     module that everything imports costs one lookup, and the imports get the
     answer back by the skew-safe join.  Files that import nothing are nodes too.
     """
-    paths = files.select(F.col(path).alias("to_path")).distinct()
-    wanted = deps.select(F.col(path).alias("from_path"),
-                         _base_path(F.col(path), F.col("module"), root).alias("base"))
-    bases = wanted.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
-    candidates = bases.select("base", F.explode(F.array(
-        F.struct(F.lit(1).alias("rank"), F.concat("base", F.lit(suffix)).alias("to_path")),
-        F.struct(F.lit(2).alias("rank"), F.concat("base", F.lit(package)).alias("to_path")),
-    )).alias("c")).select("base", "c.rank", "c.to_path")
-    resolved = (candidates.join(paths, "to_path").groupBy("base")
-                .agg(F.min_by("to_path", "rank").alias("to_path")))
-    # Modules of no file stay in, without a path: such a module may be the hot one.
-    facts = bases.join(resolved, "base", "left")
-    return (attach(wanted, facts, "base", "n", ["from_path"])
+    base = _base_path(F.col(path), F.col("module"), root)
+    wanted = written(deps.select(F.col(path).alias("from_path"), base.alias("base")).select(
+        "from_path", path_key(F.concat("base", F.lit(suffix))).alias("as_file"),
+        path_key(F.concat("base", F.lit(package))).alias("as_package")), "imports")
+    # A module of no file stays in, without a path: such a module may be the hot one.
+    modules = wanted.groupBy("as_file", "as_package").agg(F.count(F.lit(1)).alias("n"))
+    paths = files.select(F.col(path).alias("found")).distinct().select(path_key(F.col("found")).alias("key"), "found")
+    file, folder = paths.toDF("as_file", "file"), paths.toDF("as_package", "folder")
+    facts = written(modules.join(file, "as_file", "left").join(folder, "as_package", "left").select(
+        "as_file", "n", F.coalesce("file", "folder").alias("to_path")), "modules")
+    return (attach(wanted.select("from_path", "as_file"), facts, "as_file", "n", ["from_path"])
             .filter(F.col("from_path") != F.col("to_path"))
             .select("from_path", "to_path").distinct())

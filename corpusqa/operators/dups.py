@@ -1,22 +1,26 @@
 """Duplicate blocks: equal windows of clean lines, anywhere in the corpus.
 
-To find blocks, only a 16-byte digest and a location per window are shuffled.  Showing
-their text takes a join of the documents with the samples (``duplicate_blocks``).  A
-block copied into a third of the corpus is one partial-aggregate row per map
+``find`` reads the texts once and writes a 16-byte digest and a location per window.  Everything else
+starts from these rows.  No text is shuffled: samples are read by a second scan that knows where to look.
+A block copied into a third of the corpus is one partial-aggregate row per map
 task.  Locations are rows, not a list in one cell, so no group has to fit
 anywhere.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from corpusqa import values as V
 from corpusqa.functions import linecodes as LC, text as TX
 from corpusqa.functions.patterns import DIGIT, WORD
+from corpusqa.operators.bits import sift
 from corpusqa.operators.lexicon import word_count
 from corpusqa.operators.skew import PARTS, attach
+from corpusqa.sources.tables import written
 
 # Three word characters in a row that are not digits.
 _LETTERS = f"[{WORD}&&[^{DIGIT}]]{{3}}"
@@ -48,11 +52,10 @@ def digest(block: Column) -> Column:
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lang: Column | None = None, style: LC.CommentStyle = LC.DUPLICATE_STYLE,
             size: int = V.WINDOW_LINES, min_chars: int = V.WINDOW_MIN_CHARS,
-            first_only: bool = False, mark_first: bool = False) -> DataFrame:
+            mark_first: bool = False) -> DataFrame:
     """One row per sliding window: id, key, clean_start, line.  No shuffle.
 
-    ``first_only`` keeps each key's first window of a document; ``mark_first`` keeps
-    all and adds ``first``, 1 for those and 0 for the others.
+    ``mark_first`` adds ``first``: 1 for each key's first window in a document, else 0.
     """
     lang = F.lit("") if lang is None else lang
 
@@ -79,27 +82,20 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             digest(F.array_join(F.transform(w["part"], lambda x: x["text"]), "\n")).alias("key"),
             w["clean_start"].alias("clean_start"),
             F.element_at(w["part"], 1)["line"].alias("line")))
-        if mark_first:
-            return _marked_firsts(found)
-        return _first_per_key(found) if first_only else found
+        return _marked_firsts(found) if mark_first else found
 
     return docs.select(id_col, F.inline(TX.let(
         measured(clean_lines(F.col(text_col), lang, style)), slide)))
 
 
-def _is_first(ws: Column, w: Column, i: Column) -> Column:
-    """In windows sorted by key and start: is this the first one of its key?"""
-    return (i == 0) | (F.element_at(ws, F.greatest(i, F.lit(1)))["key"] != w["key"])
-
-
-def _first_per_key(found: Column) -> Column:
-    return TX.let(F.array_sort(found), lambda ws: F.filter(ws, lambda w, i: _is_first(ws, w, i)))
-
-
 def _marked_firsts(found: Column) -> Column:
+    """In windows sorted by key and start, the first one of each key."""
+    def is_first(ws: Column, w: Column, i: Column) -> Column:
+        return (i == 0) | (F.element_at(ws, F.greatest(i, F.lit(1)))["key"] != w["key"])
+
     return TX.let(F.array_sort(found), lambda ws: F.transform(ws, lambda w, i: F.struct(
         *[w[c].alias(c) for c in ("key", "clean_start", "line")],
-        _is_first(ws, w, i).cast("int").alias("first"))))
+        is_first(ws, w, i).cast("int").alias("first"))))
 
 
 def _sample_id(df: DataFrame, id_col: str) -> Column:
@@ -123,45 +119,75 @@ def duplicate_keys(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .filter(F.col("n_locations") > 1))
 
 
+@dataclass(frozen=True)
+class Duplicates:
+    """What every question about duplicate blocks starts from, computed once.
+
+    ``windows`` are the rows of ``windows`` with ``first``, ``keys`` those of ``duplicate_keys``; both
+    are written tables without text.
+    """
+
+    windows: DataFrame
+    keys: DataFrame
+    n_keys: int
+    id_col: str
+
+    def repeated(self, firsts: bool = False) -> DataFrame:
+        """Windows of duplicated blocks, and a few others: most unique windows end here, before any shuffle."""
+        rows = self.windows.filter(F.col("first") == 1) if firsts else self.windows
+        return sift(rows, F.xxhash64("key"), self.keys, F.xxhash64("key"), self.n_keys)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         lang: Column | None = None, style: LC.CommentStyle = LC.DUPLICATE_STYLE,
+         size: int = V.WINDOW_LINES, min_chars: int = V.WINDOW_MIN_CHARS) -> Duplicates:
+    """Reads the texts once.  The functions below take the result as ``found``; without it they call this."""
+    found = written(windows(docs, id_col, text_col, lang, style, size, min_chars, mark_first=True), "windows")
+    keys = written(duplicate_keys(found, id_col), "duplicate-keys")
+    return Duplicates(found, keys, keys.count(), id_col)
+
+
 def duplicate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      lang: Column | None = None,
                      style: LC.CommentStyle = LC.DUPLICATE_STYLE,
                      size: int = V.WINDOW_LINES, min_chars: int = V.WINDOW_MIN_CHARS,
-                     snippet_chars: int = V.SNIPPET_CHARS) -> DataFrame:
-    """One row per duplicated block: key, lines, tokens, n_locations, code_snippet."""
-    keys = duplicate_keys(windows(docs, id_col, text_col, lang, style, size, min_chars), id_col)
-    # Samples of one document travel together; a document has at most one window
-    # per line, so this list is bounded by the document itself.
-    wanted = keys.groupBy("sample_id").agg(
-        F.collect_list(F.struct("key", "n_locations", "sample_start")).alias("wanted"))
+                     snippet_chars: int = V.SNIPPET_CHARS, found: Duplicates | None = None) -> DataFrame:
+    """One row per duplicated block: key, lines, tokens, n_locations, code_snippet.
+
+    A second scan reads the samples: bit filters pick the documents and the places in them, the block is
+    clipped there, and only the snippets go on to meet their keys.
+    """
+    found = found or find(docs, id_col, text_col, lang, style, size, min_chars)
+    wanted = found.keys
     lang_value = F.lit("") if lang is None else lang
     texts = docs.select(_sample_id(docs, id_col).alias("sample_id"), lang_value.alias("_lang"),
                         F.col(text_col).alias("_text"))
+    by_doc, by_place = F.xxhash64("sample_id"), F.xxhash64("sample_id", F.col("sample_start").cast("int"))
+    samples = sift(texts, by_doc, wanted, by_doc, found.n_keys)
 
-    def read(clean: Column) -> Column:
-        blocks = F.transform(F.col("wanted"), lambda w: F.struct(
-            w["key"].alias("key"), w["n_locations"].alias("n_locations"),
-            block_at(clean, w["sample_start"], size).alias("block")))
-        # A stand-in may belong to two documents: only the right one has the text.
-        right = F.filter(blocks, lambda b: digest(b["block"]) == b["key"])
-        return F.transform(right, lambda b: F.struct(
-            F.lower(F.hex(b["key"])).alias("key"), F.lit(size).alias("lines"),
-            word_count(b["block"]).alias("tokens"), b["n_locations"].alias("n_locations"),
-            TX.clip(b["block"], snippet_chars).alias("code_snippet")))
+    def blocks(clean: Column) -> Column:
+        starts = F.when(F.size(clean) >= size, F.sequence(F.lit(1), F.size(clean) - (size - 1)))
+        return F.transform(starts, lambda i: F.struct(i.alias("sample_start"), block_at(clean, i, size).alias("block")))
 
-    return texts.join(wanted, "sample_id").select(
-        F.inline(TX.let(clean_lines(F.col("_text"), F.col("_lang"), style), read)))
+    placed = samples.select("sample_id", F.inline(TX.let(clean_lines(F.col("_text"), F.col("_lang"), style), blocks)))
+    read = sift(placed, by_place, wanted, by_place, found.n_keys).select(
+        digest(F.col("block")).alias("key"), "sample_id", "sample_start",
+        word_count(F.col("block")).alias("tokens"), TX.clip(F.col("block"), snippet_chars).alias("code_snippet"))
+    # A stand-in may belong to two documents: only the right one has the text.  Documents that share an id have it twice.
+    return read.join(wanted, ["key", "sample_id", "sample_start"]).dropDuplicates(["key"]).select(
+        F.lower(F.hex("key")).alias("key"), F.lit(size).alias("lines"), "tokens", "n_locations", "code_snippet")
 
 
 def duplicate_locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         lang: Column | None = None,
                         style: LC.CommentStyle = LC.DUPLICATE_STYLE,
                         size: int = V.WINDOW_LINES,
-                        min_chars: int = V.WINDOW_MIN_CHARS, parts: int = PARTS) -> DataFrame:
+                        min_chars: int = V.WINDOW_MIN_CHARS, parts: int = PARTS,
+                        found: Duplicates | None = None) -> DataFrame:
     """Every location of every duplicated block, one row each; ``parts`` as in ``attach``."""
-    found = windows(docs, id_col, text_col, lang, style, size, min_chars)
-    keys = duplicate_keys(found, id_col).select("key", "n_locations")
-    return attach(found, keys, "key", "n_locations", [id_col, "clean_start"], parts).select(
+    found = found or find(docs, id_col, text_col, lang, style, size, min_chars)
+    keys = found.keys.select("key", "n_locations")
+    return attach(found.repeated(), keys, "key", "n_locations", [id_col, "clean_start"], parts).select(
         F.lower(F.hex("key")).alias("key"), id_col, "clean_start",
         (F.col("clean_start") + (size - 1)).alias("clean_end"), "line", "n_locations")
 
@@ -170,12 +196,11 @@ def duplicate_smells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      lang: Column | None = None,
                      style: LC.CommentStyle = LC.DUPLICATE_STYLE,
                      size: int = V.WINDOW_LINES,
-                     min_chars: int = V.WINDOW_MIN_CHARS) -> DataFrame:
+                     min_chars: int = V.WINDOW_MIN_CHARS, found: Duplicates | None = None) -> DataFrame:
     """One issue per (block, document), at the document's first location."""
-    found = windows(docs, id_col, text_col, lang, style, size, min_chars)
-    keys = duplicate_keys(found, id_col).select("key", "n_locations")
-    firsts = windows(docs, id_col, text_col, lang, style, size, min_chars, first_only=True)
-    hit = attach(firsts, keys, "key", "n_locations", [id_col, "clean_start"])
+    found = found or find(docs, id_col, text_col, lang, style, size, min_chars)
+    keys = found.keys.select("key", "n_locations")
+    hit = attach(found.repeated(firsts=True), keys, "key", "n_locations", [id_col, "clean_start"])
     return hit.select(
         id_col, F.lit(V.CODE_SMELLS).alias("category"), F.lit("duplicate_code").alias("type"),
         F.format_string(f"Part of duplicated code block ({size} lines) found in %d location(s)",

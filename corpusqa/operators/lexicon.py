@@ -28,7 +28,7 @@ def segment_pattern(scope: str = "line") -> str:
     return rf"(?=[#/\"'`])(?:{parts})"
 
 
-# Written into "/*" where no "*/" follows, for texts that do not have it themselves.
+# Written into "/*" where no "*/" follows, once more than a text has it in a row.
 _NO_END = "\uffff"
 
 
@@ -40,11 +40,15 @@ def _segments(text: Column, pattern: str) -> Column:
     """
     last = F.instr(F.reverse(text), "/*")  # from the end; 0 if there is no "*/"
     head = F.when(last > 0, F.length(text) - last + 1).otherwise(0)
-    open_ended = text.contains("/*") & ~text.contains(_NO_END)
-    masked = TX.let(head, lambda n: F.concat(
-        F.left(text, n), F.replace(F.substr(text, n + 1), F.lit("/*"), F.lit(f"/{_NO_END}*"))))
-    searched = F.struct(F.when(open_ended, masked).otherwise(text).alias("text"),
-                        F.when(open_ended, f"/{_NO_END}*").otherwise("").alias("mask"))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(f"{_NO_END}++"), F.lit(0)), lambda r: F.length(r))
+    longest = F.when(text.contains(_NO_END), F.array_max(runs)).otherwise(0)
+    found = F.struct(head.alias("head"), F.concat(F.lit("/"), F.repeat(F.lit(_NO_END), longest + 1), F.lit("*")).alias("mask"))
+
+    def masked(f: Column) -> Column:
+        return F.struct(F.concat(F.left(text, f["head"]), F.replace(F.substr(text, f["head"] + 1), F.lit("/*"), f["mask"])).alias("text"),
+                        f["mask"].alias("mask"))
+
+    searched = F.when(text.contains("/*"), TX.let(found, masked)).otherwise(F.struct(text.alias("text"), F.lit("").alias("mask")))
     return TX.let(searched, lambda s: F.transform(matches(s["text"], pattern), lambda m: F.struct(
         m["line"].alias("line"), F.replace(m["text"], s["mask"], F.lit("/*")).alias("text"))))
 
@@ -92,8 +96,8 @@ def first_hit(docs: DataFrame, words: Sequence[str] = V.KEYWORDS,
 
 
 def lexicon_rollup(refs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hits per document and, with a null id, in all."""
-    return refs.rollup(id_col).agg(F.count(F.lit(1)).alias("n"))
+    """Hits per document and in all; ``total`` is 1 for that row."""
+    return refs.rollup(id_col).agg(F.grouping_id().alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def _trim_break(segment: Column) -> Column:

@@ -66,10 +66,11 @@ def document_issues(docs: DataFrame, lang: Column, id_cols: Sequence[str] = ("do
 
 
 def corpus_issues(docs: DataFrame, lang: Column, id_col: str = "doc_id", text_col: str = "text",
-                  dup_style: LC.CommentStyle = LC.DUPLICATE_STYLE, **options) -> DataFrame:
+                  dup_style: LC.CommentStyle = LC.DUPLICATE_STYLE,
+                  found: dups.Duplicates | None = None, **options) -> DataFrame:
     """All issues of a corpus: each document's own and the duplicate blocks."""
     own = document_issues(docs, lang, [id_col], text_col, **options)
-    return own.unionByName(dups.duplicate_smells(docs, id_col, text_col, lang, dup_style))
+    return own.unionByName(dups.duplicate_smells(docs, id_col, text_col, lang, dup_style, found=found))
 
 
 def count_category(issues: Column, category: str) -> Column:
@@ -88,15 +89,24 @@ def issue_hours(category: Column, severity: Column) -> Column:
     return severity_hours(severity) * factor
 
 
-def issues_per_file(files: DataFrame, issues: DataFrame, id_col: str = "doc_id",
-                    keep: Sequence[str] = ()) -> DataFrame:
-    """Every file with its issue count per category and in all."""
-    counts = issues.groupBy(id_col).agg(
-        *[F.count_if(F.col("category") == c).alias(c) for c in V.CATEGORIES],
-        F.count(F.lit(1)).alias("issues"))
-    names = [*V.CATEGORIES, "issues"]
-    return (files.select(id_col, *keep).join(counts, id_col, "left")
-            .select(id_col, *keep, *[F.coalesce(n, F.lit(0)).alias(n) for n in names]))
+def issues_per_file(docs: DataFrame, lang: Column, id_col: str = "doc_id", keep: Sequence[str] = (),
+                    text_col: str = "text", dup_style: LC.CommentStyle = LC.DUPLICATE_STYLE,
+                    found: dups.Duplicates | None = None, **options) -> DataFrame:
+    """Every document with its issue count per category and in all.
+
+    Its own issues are counted in its row; only what duplicate blocks add is grouped and joined.
+    """
+    def counted(issues: Column) -> Column:
+        return F.struct(*[count_category(issues, c).cast("bigint").alias(c) for c in V.CATEGORIES],
+                        F.size(issues).cast("bigint").alias("issues"))
+
+    own = docs.select(id_col, *keep, TX.one_row(TX.let(issue_array(F.col(text_col), lang, **options), counted)))
+    smells = dups.duplicate_smells(docs, id_col, text_col, lang, dup_style, found=found)
+    more = smells.groupBy(id_col).agg(F.count(F.lit(1)).alias("_more"))
+    added = F.coalesce("_more", F.lit(0))
+    return own.join(more, id_col, "left").select(
+        id_col, *keep, *[(F.col(c) + added if c in (V.CODE_SMELLS, "issues") else F.col(c)).alias(c)
+                         for c in (*V.CATEGORIES, "issues")])
 
 
 def technical_debt(issues: DataFrame, duplicate_blocks: DataFrame | None = None) -> DataFrame:
@@ -207,14 +217,15 @@ def rating(index: Column) -> Column:
 
 def duplicate_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      lang: Column | None = None,
-                     style: LC.CommentStyle = LC.DUPLICATE_STYLE) -> DataFrame:
+                     style: LC.CommentStyle = LC.DUPLICATE_STYLE,
+                     found: dups.Duplicates | None = None) -> DataFrame:
     """One row: duplicate blocks, the smells they make, and the hours of those.
 
     A block makes one smell in each document that has it, so the first windows
     per document are all that is counted next to the locations.
     """
-    found = dups.windows(docs, id_col, text_col, lang, style, mark_first=True)
-    per_key = found.groupBy("key").agg(
+    rows = found.windows if found else dups.windows(docs, id_col, text_col, lang, style, mark_first=True)
+    per_key = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("first").alias("documents"))
     return per_key.filter(F.col("n") > 1).agg(
         F.count(F.lit(1)).alias("blocks"),
@@ -305,9 +316,11 @@ def corpus_score(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # ------------------------------------------------------------ corpus totals
 
 def corpus_totals(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Totals of ``file_stats``, with subtotals for the keys."""
+    """Totals of ``file_stats``, with subtotals for the keys: ``total`` is 0 where a row has all of them, and not
+    0 where it adds up over some, which keeps apart a total and a key that is null."""
     grouped = stats.rollup(*keys) if keys else stats.groupBy()
-    return grouped.agg(F.count(F.lit(1)).alias("files"), *[
+    level = [F.grouping_id().alias("total")] if keys else []
+    return grouped.agg(*level, F.count(F.lit(1)).alias("files"), *[
         F.sum(c).alias(c) for c in ("lines", "code", "comments", "blank")])
 
 

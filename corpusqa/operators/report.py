@@ -63,7 +63,7 @@ _SMELL_ADVICE = {
     "deep_nesting": "Fix %d instances of deep nesting by extracting methods or using early returns",
     "duplicate_code": "Eliminate %d duplicated code blocks by creating reusable functions",
 }
-_TYPE_ADVICE = {
+TYPE_ADVICE = {
     "sql_injection": "Use parameterized statements or ORM instead of string concatenation for SQL queries",
     "xss": "Sanitize output and use safer DOM manipulation methods instead of innerHTML",
     "hardcoded_credentials": "Move hardcoded credentials to environment variables or a secure credential store",
@@ -82,7 +82,7 @@ def smell_recommendations(top_types: DataFrame) -> DataFrame:
 
 def type_recommendations(counts: DataFrame) -> DataFrame:
     """One line per security or performance type that occurs (rows category, type, n)."""
-    table = F.create_map(*[x for kv in _TYPE_ADVICE.items() for x in map(F.lit, kv)])
+    table = F.create_map(*[x for kv in TYPE_ADVICE.items() for x in map(F.lit, kv)])
     return (counts.filter(F.col("category").isin(V.SECURITY, V.PERFORMANCE))
             .select("category", "type", table[F.col("type")].alias("text"))
             .filter(F.col("text").isNotNull()))
@@ -141,3 +141,43 @@ def write_personas(facts: DataFrame, path: str, mode: str = "overwrite") -> None
 def write_details(details: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON document per line."""
     details.select(F.col("details_json").alias("value")).write.mode(mode).text(path)
+
+
+def basic_summary(guard: DataFrame, totals: DataFrame) -> DataFrame:
+    """(position, metric, value) lines of text from the size guard's row and the row of totals."""
+    m = F.col
+
+    def share(name: str) -> Column:
+        percent = F.format_number(m(name) / m("lines") * 100, 1)
+        return F.concat(F.format_number(m(name), 0), F.when(m("lines") > 0, F.concat(F.lit(" ("), percent, F.lit("%)"))).otherwise(""))
+
+    lines = [
+        ("Files found", m("files_found").cast("string")), ("Files analyzed", m("files_analyzed").cast("string")),
+        ("Files skipped", m("files_skipped").cast("string")), ("Total lines", F.format_number("lines", 0)),
+        ("Code lines", share("code")), ("Comment lines", share("comments")), ("Blank lines", share("blank")),
+    ]
+    one = guard.join(totals)  # one row each
+    return one.select(F.inline(F.array(*[F.struct(
+        F.lit(i + 1).alias("position"), F.lit(name).alias("metric"), value.alias("value")) for i, (name, value) in enumerate(lines)])))
+
+
+def lexicon_summary(facts: DataFrame, score: DataFrame, markers: DataFrame) -> DataFrame:
+    """(section, name, n): score, references, hits and word counts in all, and each marker and persona.
+
+    ``facts`` are rows of ``metrics.style_facts``; ``markers`` those of ``lexicon.marker_totals``.
+    """
+    m = F.col
+    sums = facts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("references", "simple_hits", "words")])
+    totals = sums.select(F.inline(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), m(c).alias("n"))
+                                            for c in ("references", "simple_hits", "words")])))
+    personas = facts.filter(m("persona").isNotNull()).groupBy("persona").agg(F.count(F.lit(1)).alias("n"))
+    return (score.select(F.lit("total").alias("section"), F.lit("score").alias("name"), m("score").cast("bigint").alias("n"))
+            .unionAll(totals).unionAll(markers.select(F.lit("marker"), "marker", m("n").cast("bigint")))
+            .unionAll(personas.select(F.lit("persona"), "persona", "n")))
+
+
+def report_advice(advice: DataFrame) -> DataFrame:
+    """Rows of ``recommendations`` for a report: the lines of topic ``report`` stand in where there are no others."""
+    own = advice.filter(F.col("topic") != "report")
+    found = own.agg((F.count(F.lit(1)) > 0).alias("own")).scalar()
+    return advice.filter((F.col("topic") != "report") | ~found)

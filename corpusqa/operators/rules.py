@@ -31,6 +31,10 @@ def compiled(rule: V.Rule) -> str:
     return java(rule.fast or rule.pattern, ignore_case=rule.ignore_case)
 
 
+def _leads(rule: V.Rule) -> bool:
+    return "(?<lead>" in (rule.fast or "")
+
+
 def rule_issues(text: Column, rules: Sequence[V.Rule], lang: Column | None = None,
                 with_context: bool = True) -> Column:
     """array<issue>: one entry per match, all rules in one expression.
@@ -42,7 +46,7 @@ def rule_issues(text: Column, rules: Sequence[V.Rule], lang: Column | None = Non
         return F.struct(
             F.lit(rule.category).alias("category"), F.lit(rule.name).alias("type"),
             F.lit(rule.description).alias("description"), F.lit(rule.severity).alias("severity"),
-            F.when(_worth_trying(rule, clean, lang), mark(clean, compiled(rule))).alias("marked"))
+            F.when(_worth_trying(rule, clean, lang), mark(clean, compiled(rule), _leads(rule))).alias("marked"))
 
     def issues_of(t: Column) -> Column:
         return F.flatten(F.transform(hit_lines(t["marked"]), lambda h: F.array_repeat(

@@ -23,9 +23,13 @@ _LOOP = ("for", "while")
 _FOLLOWER = ("elif", "else", "except", "finally")
 _KEYWORD = rf"^(?:async[ \t]+)?(def|{'|'.join(_CONTROL)}|else|except|finally){AFTER_WORD}"
 
+# A signature as far as it has been read: brackets open, its own bracket met, its own bracket closed,
+# parameters, the current one has something, and the depth of an open lambda (0: none).
+_SIGNATURE = ("depth", "begun", "done", "n", "filled", "lambda_at")
+_SIGNATURE_TYPE = "struct<depth:int,begun:boolean,done:boolean,n:int,filled:boolean,lambda_at:int>"
 _ENTRY = ("struct<kind:string,name:string,line:int,indent:int,complexity:int,"
-          "sig:string,sig_open:boolean,inner:boolean>")
-_FUNCTION = "struct<name:string,line:int,end_line:int,complexity:int,sig:string>"
+          f"sig:{_SIGNATURE_TYPE},sig_open:boolean,inner:boolean>")
+_FUNCTION = "struct<name:string,line:int,end_line:int,complexity:int,params:int>"
 _NESTED = "struct<name:string,level:int,line:int>"
 _LOOPS = "struct<line:int,inner_line:int>"
 
@@ -59,7 +63,7 @@ def _fold(facts: Column) -> Column:
             F.filter(entries, lambda e: e["kind"] == "def"),
             lambda e: F.struct(e["name"].alias("name"), e["line"].alias("line"),
                                end.alias("end_line"), e["complexity"].alias("complexity"),
-                               e["sig"].alias("sig")))
+                               e["sig"]["n"].alias("params")))
 
     def step(a: Column, x: Column) -> Column:
         logical = (~a["cont"]) & (a["depth"] == 0) & ~x["s"].startswith(INSIDE)
@@ -87,15 +91,15 @@ def _fold(facts: Column) -> Column:
         carried = F.transform(kept, lambda e: F.struct(
             e["kind"].alias("kind"), e["name"].alias("name"), e["line"].alias("line"),
             e["indent"].alias("indent"), (e["complexity"] + add).alias("complexity"),
-            F.when(e["sig_open"], F.concat(e["sig"], F.lit(" "), x["s"]))
-            .otherwise(e["sig"]).alias("sig"),
+            F.when(e["sig_open"], _parameters(x["s"], e["sig"])).otherwise(e["sig"]).alias("sig"),
             (e["sig_open"] & going).alias("sig_open"), (e["inner"] | loop).alias("inner")))
         entry = F.struct(
             F.when(x["kw"].isin(*_LOOP), "loop").when(x["kw"] == "def", "def")
             .otherwise("control").alias("kind"),
             F.regexp_extract(x["s"], java(r"def\s+(\w+)"), 1).alias("name"),
             x["line"].alias("line"), x["indent"].alias("indent"),
-            (x["ands"] + 1).alias("complexity"), x["s"].alias("sig"),
+            (x["ands"] + 1).alias("complexity"),
+            F.when(x["kw"] == "def", _parameters(x["s"], _unread())).otherwise(_unread()).alias("sig"),
             ((x["kw"] == "def") & going).alias("sig_open"), F.lit(False).alias("inner"))
         levels = F.filter(
             F.transform(kept, lambda e, i: F.struct(
@@ -127,13 +131,17 @@ def _fold(facts: Column) -> Column:
     return TX.let(TX.fold(facts, start, found, step), finish)
 
 
-def _parameters(sig: Column) -> Column:
-    """Count the parameters of a signature; ``*`` and ``/`` alone are none."""
-    flat = F.regexp_replace(sig, rf"{BEFORE_WORD}lambda{AFTER_WORD}[^:()\[\]{{}}]*+:", "0")
-    parts = F.regexp_extract_all(flat, F.lit(r"[()\[\]{},]|[^()\[\]{},]++"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("begun"),
-                     F.lit(False).alias("done"), F.lit(0).alias("n"),
-                     F.lit(False).alias("filled"))
+def _unread() -> Column:
+    values = (F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(False), F.lit(0))
+    return F.struct(*[v.alias(n) for n, v in zip(_SIGNATURE, values)])
+
+
+def _parameters(line: Column, start: Column) -> Column:
+    """Read one more line of a signature.  The parameters are counted as they end, so a signature without an end
+    is no longer than its counters; ``*`` and ``/`` alone are none."""
+    word = f"{BEFORE_WORD}lambda{AFTER_WORD}"
+    parts = F.regexp_extract_all(line, F.lit(
+        rf"{word}|[()\[\]{{}},:]|(?:(?!{word})[^()\[\]{{}},:])++"), F.lit(0))
 
     def step(a: Column, t: Column) -> Column:
         opening, closing = t.isin("(", "[", "{"), t.isin(")", "]", "}")
@@ -141,14 +149,17 @@ def _parameters(sig: Column) -> Column:
         begun = a["begun"] | ((t == "(") & (a["depth"] == 0))
         ends = closing & a["begun"] & (depth == 0)
         parts_at = a["begun"] & (a["depth"] == 1)
-        separates = parts_at & ((t == ",") | ends)
-        word = parts_at & ~opening & ~closing & (t != ",") & ~TX.strip(t).isin("", "*", "/")
+        of_lambda = a["lambda_at"] == a["depth"]
+        separates = parts_at & (((t == ",") & ~((a["lambda_at"] > 0) & of_lambda)) | ends)
+        filled = parts_at & ~opening & ~closing & ~t.isin(",", ":") & ~TX.strip(t).isin("", "*", "/")
+        lambda_at = (F.when((t == "lambda") & (a["lambda_at"] == 0), a["depth"])
+                     .when((t == ":") & of_lambda, 0).when(closing & (depth < a["lambda_at"]), 0).otherwise(a["lambda_at"]))
         return F.when(a["done"], a).otherwise(F.struct(
             depth.alias("depth"), begun.alias("begun"), ends.alias("done"),
             (a["n"] + F.when(separates & a["filled"], 1).otherwise(0)).alias("n"),
-            ((a["filled"] | word) & ~separates).alias("filled")))
+            ((a["filled"] | filled) & ~separates).alias("filled"), lambda_at.alias("lambda_at")))
 
-    return F.aggregate(parts, start, step, lambda a: a["n"])
+    return F.aggregate(parts, start, step)
 
 
 def structure(text: Column) -> Column:
@@ -159,7 +170,7 @@ def structure(text: Column) -> Column:
                 f["name"].alias("name"), f["line"].alias("line"),
                 f["end_line"].alias("end_line"),
                 (f["end_line"] - f["line"] + 1).alias("lines"),
-                _parameters(f["sig"]).alias("params"),
+                f["params"].alias("params"),
                 f["complexity"].alias("complexity"))).alias("functions"),
             a["nesting"].alias("nesting"), a["loops"].alias("loops"),
             a["structure_ok"].alias("structure_ok"))

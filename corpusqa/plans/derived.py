@@ -1,8 +1,8 @@
 """Source texts derived from the documents, for the structure operators.
 
-The documents hold prose.  Here Spark turns every line of every document into a
-line of code, chosen by the line's length, so that the structure operators run on
-a corpus that grows with the tables, and the expected rows follow from the line
+The documents hold prose.  Here Spark puts a line of code before every line of every document, chosen by
+the line's length, and makes the line itself a comment, so that the structure operators run on
+a corpus that grows with the tables and on all its letters, and the expected rows follow from the line
 lengths alone, which is what the SQL computes.
 """
 
@@ -43,9 +43,10 @@ def _pick(choice: Column, *options: Column) -> Column:
     return F.element_at(F.array(*options), choice + 1)
 
 
-def _rewrite(docs: DataFrame, code) -> DataFrame:
-    lines = F.transform(F.split("text", "\n", -1), lambda raw, i: code(
-        F.length(raw), i + 1))
+def _rewrite(docs: DataFrame, code, comment: str) -> DataFrame:
+    """Each line a line of code by its length and number, and then the line itself as a comment."""
+    lines = F.transform(F.split("text", "\n", -1), lambda raw, i: F.concat(
+        code(F.length(raw), i + 1), F.lit(f"  {comment} "), raw))
     return docs.select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
@@ -65,7 +66,7 @@ def python_texts(s, d) -> DataFrame:
             F.concat(F.lit("from .p"), part(4), F.lit(" import q")),
             F.lit("# if x and y:"), F.lit("x = 'def if for' + \"import no\"")))
 
-    return _rewrite(documents(s, d), code)
+    return _rewrite(documents(s, d), code, "#")
 
 
 def brace_texts(s, d) -> DataFrame:
@@ -76,7 +77,7 @@ def brace_texts(s, d) -> DataFrame:
             F.concat(F.lit('import z from "m'), (c % 5).cast("string"), F.lit("\"; q = require('r"),
                      (c % 3).cast("string"), F.lit("')")))
 
-    return _rewrite(documents(s, d), code)
+    return _rewrite(documents(s, d), code, "//")
 
 
 def shaped_texts(s, d, shapes) -> DataFrame:

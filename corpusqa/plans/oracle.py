@@ -400,7 +400,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS line_no, {BASIC_CLASS} AS class FROM v""",
         "file_stats": file_stats(Q.BASIC_TEST),
         "file_stats_default": file_stats(_basic_default()),
         "corpus_totals": f"""WITH fs AS ({file_stats(Q.BASIC_TEST, 'doc_id, lang')})
-SELECT lang, CAST(count(*) AS BIGINT) AS files, CAST(sum(lines) AS BIGINT) AS lines,
+SELECT lang, CAST(grouping(lang) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS files, CAST(sum(lines) AS BIGINT) AS lines,
   CAST(sum(code) AS BIGINT) AS code, CAST(sum(comments) AS BIGINT) AS comments,
   CAST(sum(blank) AS BIGINT) AS blank FROM fs GROUP BY ROLLUP (lang)""",
         "file_metrics": f"""WITH {L}, {metrics_cte(Q.STYLE_TEST, 'doc_id')}
@@ -435,10 +435,10 @@ SELECT page_id, '{V.CODE_SMELLS}' AS category, 'var_usage' AS type, 'Using var i
         "top_issue_types": f"""WITH {L}, {hits_cte(Q.RULES + Q.GATED_RULES)} SELECT type,
   CAST(count(*) AS BIGINT) AS n FROM h WHERE category = '{V.CODE_SMELLS}' GROUP BY type ORDER BY n DESC, type LIMIT 3""",
         "simple_matches": _simple_matches(),
-        "self_assignment": _repeated_words(),
+        "repeated_words": _repeated_words(),
         "lexicon_refs": f"WITH {refs_cte()} SELECT doc_id, line, keyword, context FROM refs",
-        "lexicon_rollup": f"""WITH {refs_cte()} SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM refs
-  GROUP BY ROLLUP (doc_id)""",
+        "lexicon_rollup": f"""WITH {refs_cte()} SELECT doc_id, CAST(grouping(doc_id) AS BIGINT) AS total,
+  CAST(count(*) AS BIGINT) AS n FROM refs GROUP BY ROLLUP (doc_id)""",
         "first_hit": f"""WITH {refs_cte()} SELECT doc_id, CAST(count(*) AS BIGINT) AS n,
   min((line, keyword))[1] AS first_line, min((line, keyword))[2] AS first_keyword FROM refs GROUP BY doc_id""",
         "wildcard_counts": f"""SELECT * FROM (SELECT doc_id, {wildcard_sum()} AS n FROM documents) WHERE n > 0""",

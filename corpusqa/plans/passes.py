@@ -1,7 +1,7 @@
 """The four passes over a corpus, each a set of lazily built tables.
 
-A corpus is a DataFrame with an id, a language name and a text.  Nothing here
-starts a job; a table runs when it is written or shown.
+A corpus is a DataFrame with an id, a language name and a text.  A table runs when it is written or
+shown; only the advanced pass starts jobs by itself, for the windows that all its duplicate tables share.
 """
 
 from __future__ import annotations
@@ -46,24 +46,25 @@ def advanced_pass(corpus: DataFrame, id_col: str = "doc_id") -> dict[str, DataFr
     """Issues, functions, dependencies, tokens, duplicates, metrics and advice."""
     known = corpus.filter(F.col("lang") != "Unknown")
     lang, text = F.col("lang"), F.col("text")
-    issues = M.corpus_issues(known, lang, id_col)
+    found = dups.find(known, id_col, lang=lang)
+    issues = M.corpus_issues(known, lang, id_col, found=found)
     facts = M.quality_facts(known, lang, [id_col])
-    metrics = M.corpus_metrics(facts, duplicates=M.duplicate_totals(known, id_col, lang=lang))
+    metrics = M.corpus_metrics(facts, duplicates=M.duplicate_totals(known, id_col, lang=lang, found=found))
     return {
         "issues": issues,
         "functions": S.functions(known.filter(lang == "Python"), [id_col]),
         "dependencies": D.edges_of(known, D.dependencies(text, lang), [id_col]),
         "tokens": X.token_totals(known),
         "file_metrics": L.file_metrics(known, [id_col], lang=lang),
-        "duplicate_blocks": dups.duplicate_blocks(known, id_col, lang=lang),
-        "duplicate_locations": dups.duplicate_locations(known, id_col, lang=lang),
+        "duplicate_blocks": dups.duplicate_blocks(known, id_col, lang=lang, found=found),
+        "duplicate_locations": dups.duplicate_locations(known, id_col, lang=lang, found=found),
         "metrics": metrics,
         "summary": report.summary_long(metrics),
         "recommendations": report.recommendations(metrics),
         "smell_recommendations": report.smell_recommendations(R.top_types(issues)),
         "type_recommendations": report.type_recommendations(R.rule_counts(issues)),
         "best_practices": report.advice(known, lang),
-        "issues_per_file": M.issues_per_file(known, issues, id_col, ["lang"]),
+        "issues_per_file": M.issues_per_file(known, lang, id_col, ["lang"], found=found),
         "file_details": report.file_details(L.file_stats(known, [id_col, "lang"]), issues, id_col),
     }
 

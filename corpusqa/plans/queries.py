@@ -17,7 +17,7 @@ from corpusqa.operators import (advisories as A, deps as D, dups, lexicon as X,
                                 metrics as M, paths as P, rank, report, rules as R,
                                 structure as S)
 from corpusqa.sources import files as SF
-from corpusqa.sources.tables import read_table, spread
+from corpusqa.sources.tables import read_table, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,7 +216,7 @@ def simple_matches(s, d):
     return R.match_scan(documents(s, d), SIMPLE_RULES)
 
 
-def self_assignment(s, d):
+def repeated_words(s, d):
     return R.match_scan(documents(s, d), REPEATED_WORD)
 
 
@@ -305,8 +305,8 @@ def block_extents(s, d):
 
 # -------------------------------------------------------------------- metrics
 
-def _issues(s, d):
-    return M.corpus_issues(documents(s, d), lang(), rules=RULES, style=ISLAND_TEST)
+def _issues(s, d, found=None):
+    return M.corpus_issues(documents(s, d), lang(), rules=RULES, style=ISLAND_TEST, found=found)
 
 
 def _facts(s, d, keys=()):
@@ -318,7 +318,7 @@ def corpus_issues(s, d):
 
 
 def issues_per_file(s, d):
-    return M.issues_per_file(documents(s, d), _issues(s, d), keep=["lang"])
+    return M.issues_per_file(documents(s, d), lang(), keep=["lang"], rules=RULES, style=ISLAND_TEST)
 
 
 def corpus_metrics(s, d):
@@ -331,9 +331,8 @@ def maintainability(s, d):
 
 
 def technical_debt(s, d):
-    docs = documents(s, d)
-    keys = dups.duplicate_keys(dups.windows(docs, lang=lang()))
-    return M.technical_debt(_issues(s, d), keys)
+    found = dups.find(documents(s, d), lang=lang())
+    return M.technical_debt(_issues(s, d, found), found.keys)
 
 
 def recommendations(s, d):
@@ -402,8 +401,8 @@ def _site(s, d):
     index = found.groupBy("section").agg(F.min("page_id").alias("first_page"))
     name = F.when(F.col("page_id") == F.col("first_page"), "index").otherwise(
         F.col("page_id").cast("string"))
-    return found.join(index, "section").select(
-        "page_id", F.concat("section", F.lit("/"), name, F.lit(".html")).alias("path"), "links")
+    return written(found.join(index, "section").select(
+        "page_id", F.concat("section", F.lit("/"), name, F.lit(".html")).alias("path"), "links"), "site")
 
 
 def deps_edges(s, d):
@@ -437,7 +436,7 @@ REGISTERED: tuple[Query, ...] = (
     corpus_totals, file_metrics, comment_density, comment_islands, commented_code,
     largest_files, head_sample,
     rule_hits, rule_hits_embedded, gated_rules, rule_counts_by_type, issues_ranked,
-    top_issue_types, simple_matches, self_assignment,
+    top_issue_types, simple_matches, repeated_words,
     lexicon_refs, lexicon_rollup, first_hit, wildcard_counts, top_counts, marker_counts,
     marker_totals, naming_styles, naming_styles_pages, token_topk, token_heavy, token_exact,
     block_extents,

@@ -11,23 +11,29 @@ from corpusqa import values as V
 from corpusqa.operators import paths as P
 from corpusqa.sources import tree
 
-# Workers get the reader by value, so they need no copy of this package.
+# Workers get the functions by value, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(tree)
 
-def scan_files(spark: SparkSession, root: str,
-               languages: dict[str, Sequence[str]] = V.COARSE_LANGUAGES,
-               ignored: Sequence[str] = V.IGNORED_DIRECTORIES,
-               names: Sequence[str] = ()) -> DataFrame:
-    """All source files under ``root``: path, rel_path, length, content.
+
+def list_sources(spark: SparkSession, root: str,
+                 languages: dict[str, Sequence[str]] = V.COARSE_LANGUAGES,
+                 ignored: Sequence[str] = V.IGNORED_DIRECTORIES,
+                 names: Sequence[str] = ()) -> DataFrame:
+    """All source files under ``root``: path, rel_path, length.  The listing is done by tasks.
 
     Ignored and dot directories are not entered; dot files and files of unknown
     extension are left out, but for those listed in ``names``.
     """
-    spark.dataSource.register(tree.SourceTree)
     extensions = sorted({e for es in languages.values() for e in es})
-    return (spark.read.format("source_tree").option("path", root)
-            .option("extensions", "|".join(extensions))
-            .option("ignored", "|".join(ignored)).option("names", "|".join(names)).load())
+    return tree.list_files(spark, root, extensions, names, ignored)
+
+
+def scan_files(spark: SparkSession, root: str,
+               languages: dict[str, Sequence[str]] = V.COARSE_LANGUAGES,
+               ignored: Sequence[str] = V.IGNORED_DIRECTORIES,
+               names: Sequence[str] = (), max_bytes: int | None = None) -> DataFrame:
+    """``list_sources`` with their content, null above ``max_bytes``."""
+    return tree.read_files(list_sources(spark, root, languages, ignored, names), root, max_bytes=max_bytes)
 
 
 def scan_filter(files: DataFrame, path: Column,

@@ -17,7 +17,8 @@ class Rule:
 
     ``pattern`` decides what is a hit.  ``fast`` is an equivalent pattern that
     Java runs in linear time where the plain form could backtrack for long; both
-    must report the same lines.  ``needles`` are literals of which at least one
+    must report the same lines; groups ``lead`` and
+    ``hit`` part what stands before the match from it.  ``needles`` are literals of which at least one
     is in every hit, so that a plain substring search skips most documents.
     """
 
@@ -47,7 +48,10 @@ PYTHON_RULES = (
     Rule("import_star", CODE_SMELLS, "medium", "Using from module import *",
          r"from\s+\w+\s+import\s+\*", ("python",), ("import",)),
     Rule("mutable_default", CODE_SMELLS, "medium", "Using mutable default arguments",
-         r"def\s+\w+\s*\([^)]*=\s*(?:\[\]|\{\}|\(\))", ("python",), ("def",)),
+         r"def\s+\w+\s*\([^)]*=\s*(?:\[\]|\{\}|\(\))", ("python",), ("def",),
+         # Between two closing brackets there is at most one hit: from the first head on, if a default follows.
+         fast=r"(?<![^)])(?<lead>(?>[^)]*?(?=def\s++\w++\s*+\()))(?<hit>def\s++\w++\s*+\("
+              r"[^)=]*+(?:=(?!\s*+(?:\[\]|\{\}|\(\)))[^)=]*+)*+=\s*+(?:\[\]|\{\}|\(\)))"),
     Rule("eval_usage", CODE_SMELLS, "high", "Using eval() function",
          r"eval\s*\(", ("python",), ("eval",)),
 )
@@ -108,6 +112,14 @@ SIMPLE_CODE_RULES = (
 
 ISSUE_RULES = PYTHON_RULES + JAVASCRIPT_RULES + SECURITY_RULES + PERFORMANCE_RULES
 
+# Smells that are found by a scanner: name, severity, description.
+DECLARED_SMELLS = (
+    Rule("complex_conditional", CODE_SMELLS, "medium", "Overly complex conditional expressions", ""),
+    Rule("magic_number", CODE_SMELLS, "low", "Magic numbers (hard-coded numeric literals)", ""),
+    Rule("global_variable", CODE_SMELLS, "medium", "Excessive use of global variables", ""),
+    Rule("empty_catch", CODE_SMELLS, "medium", "Empty catch blocks", ""),
+)
+
 LONG_LINE = ("long_line", STYLE, "low", "Line exceeds 100 characters")
 
 KEYWORDS = (
@@ -279,3 +291,8 @@ MAX_FUNCTION_LINES = 50
 MAX_COMPLEXITY = 10
 MAX_NESTING = 4
 # ------------------------------------------------------------ end fixed values
+
+# Own choices: how many are too many, and numbers that explain themselves.
+MAX_CONDITION_OPERATORS = 3
+MAX_GLOBALS = 5
+PLAIN_NUMBERS = ("0", "1", "2", "10", "100", "0.0", "1.0")

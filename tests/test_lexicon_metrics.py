@@ -142,8 +142,8 @@ def test_metrics_add_up(docs):
     assert whole.total_comment_lines == sum(r.comment_lines for r in per_file)
     assert whole.avg_line_length == pytest.approx(
         sum(r.avg_line_length * r.loc for r in per_file) / whole.total_lines_of_code)
-    issues = M.document_issues(frame, lang)
-    counts = M.issues_per_file(frame, issues)
+    issues = M.corpus_issues(frame, lang)
+    counts = M.issues_per_file(frame, lang)
     assert counts.agg(F.sum("issues")).first()[0] == issues.count()
     assert counts.count() == 3
     totals = M.corpus_totals(L.file_stats(frame, ["lang"]), ["lang"]).collect()

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from corpusqa import values as V
 from corpusqa.operators import advisories as A, deps as D, paths as P
 from corpusqa.plans import passes
-from corpusqa.sources import files as SF
-from corpusqa.sources.tree import SourceTree
+from corpusqa.sources import files as SF, tree as T
 
 TREE = {
     "app.py": b"import utils\nfrom models.user import User\nimport flask\n",
@@ -48,14 +47,39 @@ def test_scan(spark, tree):
 
 
 def test_scan_in_small_splits(spark, tree):
-    spark.dataSource.register(SF.tree.SourceTree)
-    df = (spark.read.format("source_tree").option("path", tree).option("extensions", ".py")
-          .option("ignored", "build").option("splitbytes", "5000").option("maxbytes", "30").load())
+    listed = T.list_files(spark, tree, [".py"], ignored=["build"])
+    df = T.read_files(listed, tree, split_bytes=5000, max_bytes=30)
     assert df.rdd.getNumPartitions() > 1
     big = {r.rel_path: r.content for r in df.collect()}
     assert big["app.py"] is None and big["utils.py"] == bytearray(TREE["utils.py"])
 
 
+def test_many_nested_folders_are_listed_by_tasks(spark, tmp_path):
+    """A chain of 60, 300 side by side, and one that holds most files; few directories for a task."""
+    want, chain = set(), tmp_path
+    for i in range(60):
+        chain = chain / f"d{i}"
+        chain.mkdir()
+        (chain / "c.py").write_text("x")
+        want.add(str((chain / "c.py").relative_to(tmp_path)))
+    for i in range(300):
+        (tmp_path / "wide" / f"w{i}").mkdir(parents=True)
+        (tmp_path / "wide" / f"w{i}" / "w.py").write_text("x" * i)
+        want.add(f"wide/w{i}/w.py")
+    (tmp_path / "many").mkdir()
+    for i in range(2500):
+        (tmp_path / "many" / f"m{i}.py").write_text("")
+        want.add(f"many/m{i}.py")
+    for deep, most in ((7, 20), (1000, 10_000)):
+        got = [r.rel_path for r in T.list_files(spark, str(tmp_path), [".py"], deep=deep, most=most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert SF.scan_files(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == 60 + sum(range(300))
+
+
+def test_empty_tree(spark, tmp_path):
+    assert SF.scan_files(spark, str(tmp_path)).count() == 0
+
+
 def test_requirement_file(spark, tree):
     files = SF.scan_files(spark, tree, names=V.REQUIREMENT_FILES)
     assert "requirements.txt" in {r.rel_path for r in files.collect()}
@@ -214,11 +238,31 @@ def test_versions(spark):
 
     cases = [("1.0rc1", "<1.0", True), ("1.0", "<1.0rc1", False), ("1.5", "~=1.4", True), ("2.0", "~=1.4", False), ("1.4", "==1.*", True), ("1.0", "*", True),
              ("v1.2", "<1.3", True), ("1!1.0", "<2.0", False), ("1.0.post1", ">1.0", True), ("1.0.dev1", "<1.0a1", True), ("1.0+local", "==1.0", True),
-             ("1.123456789012345678901", "==1.123456789012345678902", False), ("1.10", ">1.9", True), ("1.0.0", "==1", True), ("1.4", ">=2|<1.5,>1.3", True), ("1.4", "what", True)]
+             ("1.123456789012345678901", "==1.123456789012345678902", False), ("1.10", ">1.9", True), ("1.0.0", "==1", True), ("1.4", ">=2|<1.5,>1.3", True),
+             ("1.0a1.dev1", "<2.0", True), ("1.0.post1.dev2", "<2.0", True), ("1.4.0-SNAPSHOT", "<2.0", True), ("v1.4.3", "~=1.4.2", True),
+             ("v1.4.1", "==1.4.*", True), ("1.4rc1", "==1.4.*", True), ("2.3", "~=2.2.post3", True), ("1.0a1.dev1", ">=1.0a1", False),
+             ("1.0.post1.dev2", "<1.0.post1", True), ("1.0.post1.dev2", ">1.0", True), ("1.0.dev3", "<1.0a1.dev1", True), ("1", "==1.0.*", True),
+             ("1.40", "==1.4.*", False), ("1!1.4", "==1.4.*", False), ("1!1.4", "~=1!1.2", True), ("1.0-1", "==1.0.post1", True), ("1.5", "!=1.4.*", True),
+             ("1.4.7", "!=1.4.*", False), ("1.4", "what|<2", True), ("1.4", "what,<1", False), ("", "*", True), (" 1.4 ", "", True),
+             # The third answer.
+             ("1.4", "what", None), ("deadbeef", "<2.0", None), ("", "<2.0", None), ("1.4", "~=1", None), ("1.4", "<=1.*", None),
+             ("1.4", "<1.4-x-y", None), ("1." + "9" * 39, ">1", None), (None, "<2.0", None), ("1.4", "what,>1", None), ("=;1", "<2", None)]
     rows = spark.createDataFrame(cases, "v string, r string, want boolean")
     from pyspark.sql import functions as F
 
-    assert [tuple(r) for r in rows.where(advisories.in_range(F.col("v"), F.col("r")) != F.col("want")).collect()] == []
+    got = advisories.in_range(F.col("v"), F.col("r"))
+    assert [tuple(r) for r in rows.select("*", got.alias("got")).where("not (got <=> want)").collect()] == []
+
+
+def test_unreadable_is_reported(spark):
+    installed = spark.createDataFrame([("p", "x", "1.0"), ("q", "x", "deadbeef"), ("r", "x", "3.0"), ("s", "y", "1")], "project string, package string, installed string")
+    table = spark.createDataFrame([("x", "<2.0", "d", "A"), ("y", "what", "d", "B")], "package string, affected string, description string, id string")
+    found = A.advisory_match(installed, table)
+    assert {(r.project, r.answer) for r in found.collect()} == {("p", "affected"), ("q", "unreadable"), ("s", "unreadable")}
+    projects = installed.select("project")
+    status = A.scan_status(projects, projects, found)
+    assert {(r.project, r.status, r.n_findings) for r in status.collect()} == {
+        ("p", "Vulnerable", 1), ("q", "Error", 0), ("r", "Secure", 0), ("s", "Error", 0)}
 
 
 def test_long_documents_stay(spark):
@@ -232,6 +276,5 @@ def test_linked_directories_are_not_followed(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.py").write_text("x = 1\n")
     (tmp_path / "a" / "back").symlink_to(tmp_path, target_is_directory=True)
-    spark.dataSource.register(SourceTree)
-    found = spark.read.format("source_tree").option("path", str(tmp_path)).load()
+    found = T.read_files(T.list_files(spark, str(tmp_path)), str(tmp_path))
     assert [r["rel_path"] for r in found.select("rel_path").collect()] == ["a/x.py"]
