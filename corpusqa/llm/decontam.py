@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import WordHashes, mix
+from corpusqa.llm.shared import WordHashes, lean, mix
 
 U64 = np.uint64
 HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
@@ -335,12 +335,15 @@ def with_hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, block:
 
 
 def _finder(items: list[tuple[int, str | None]], max_edits: float):
-    @F.pandas_udf(HITS)
-    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(items, max_edits)
         for series in texts:
             yield pd.Series(matcher.of(series.tolist()), dtype=object)
 
+    @F.pandas_udf(HITS)
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(found)(texts)
+
     return find
 
 

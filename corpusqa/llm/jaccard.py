@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import WordHashes, ascii_words, components, forest, kept, mix, shingle_set, small_batches
+from corpusqa.llm.shared import WordHashes, ascii_words, components, forest, kept, lean, mix, shingle_set, small_batches
 
 U64 = np.uint64
 #: Sets and elements in a block; a tile has at most two blocks.
@@ -180,7 +180,7 @@ def sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                  pa.array([_short(k) for k in keys], pa.int64()), pa.array([sketch(s, num, den) for s in found], pa.binary())],
                 names=["doc_id", "n", "key", "short", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, short long, sketch binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, key binary, short long, sketch binary")
 
 
 def signatures(docs: DataFrame, words: int, signer: Signer, remember: int = 200_000) -> DataFrame:
@@ -206,7 +206,7 @@ def signatures(docs: DataFrame, words: int, signer: Signer, remember: int = 200_
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], names=["sig", "short"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "sig long, short long")
+    return docs.where("doc_id is not null").mapInArrow(lean(run), "sig long, short long")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +379,7 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         tiles = docs.join(dealt.hint("merge"), "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
             "cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "key", "text")
         tile = ["cluster", "one", "other"]
-        found = tiles.repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(_verify(words, num, den), "a binary, b binary")
+        found = tiles.repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(lean(_verify(words, num, den)), "a binary, b binary")
         comps = components(found, "similar").toDF("key", "root")
     rooted = nodes.select("doc_id", "n", "key")
     rooted = rooted.join(comps, "key", "left").withColumn("root", F.coalesce("root", "key")) if comps is not None else rooted.withColumn("root", F.col("key"))
@@ -393,11 +393,11 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
 def _cluster_links(docs: DataFrame, every: DataFrame, words: int, num: int, den: int, crowd: dict[int, int], parts: int) -> DataFrame:
     signed = signatures(docs, words, Signer(num, den, crowd))
     buckets = signed.repartition(parts, F.call_function("shiftright", F.col("sig"), F.lit(1))).sortWithinPartitions("sig").mapInArrow(
-        _buckets, "members array<long>, chained boolean")
+        lean(_buckets), "members array<long>, chained boolean")
     lists = kept(kept(buckets, "buckets").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
     facts = every.where("n > 0 and doc_id is not null").dropDuplicates(["short"]).select("short", "n", "sketch")
     rows = lists.select("list", "chained", F.explode("members").alias("short")).join(facts, "short")
-    return rows.repartition(parts, "list").sortWithinPartitions("list", "short").mapInArrow(_sift(num, den), "a long, b long")
+    return rows.repartition(parts, "list").sortWithinPartitions("list", "short").mapInArrow(lean(_sift(num, den)), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def plain_path(path: str) -> str:
+    """file:/x as file:///x."""
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage ends there, so an
     executor that is lost later costs no more than reading the files again."""
@@ -52,9 +65,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; the first ``limit`` different words are remembered."""
+    """64-bit hashes of words; the first ``limit`` different words are remembered, about 110 bytes each."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
@@ -94,6 +107,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
 
 
+def lean(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """``run`` as the function of a task that leaves no memory behind in its worker process, which the tasks of later stages
+    use again: ``forget`` is called at the end, and freed memory goes back to the system."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return task
+
+
 def root_of(parent: np.ndarray, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]

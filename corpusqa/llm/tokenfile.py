@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import shared_folder, small_batches
-from corpusqa.llm.tokens import encoded
+from corpusqa.llm.shared import lean, plain_path, shared_folder, small_batches, store
+from corpusqa.llm.tokens import encoded, forget
 
 NO_ID = np.iinfo(np.int64).min
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -37,15 +37,6 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 _PART = "part int, file string, n_docs long, n_ids long"
 
 
-def _store(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
-def _plain(folder: str) -> str:
-    """file:/x as file:///x."""
-    return folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_id: int = 2, width: int = 2,
           parts: int | None = None) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) into ``folder`` and returns the manifest as it was written.
@@ -58,20 +49,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
     """
     if width not in (2, 4):
         raise ValueError("an id has 2 or 4 bytes")
-    folder = _plain(folder)
+    folder = plain_path(folder)
     spark = docs.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     largest = (1 << 8 * width) - 1
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(folder)
+        disk, root = store(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         files, total, count = None, 0, 0
         for batch in small_batches(batches):
             if files is None:
-                store.create_dir(root, recursive=True)
-                files = [store.open_output_stream(f"{root}/{name}.{end}") for end in ("ids", "idx", "doc")]
+                disk.create_dir(root, recursive=True)
+                files = [disk.open_output_stream(f"{root}/{name}.{end}") for end in ("ids", "idx", "doc")]
                 files[1].write(np.zeros(1, "<i8").tobytes())
             sizes = []
             for ids in encoded(batch.column(1).to_pylist(), tokenizer, kind, end_id):
@@ -91,7 +82,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [count], "n_ids": [total]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(put, _PART)
+    made = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(lean(put, forget), _PART)
     made.write.parquet(f"{folder}/parts")
     done = spark.read.schema(_PART).parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
@@ -106,19 +97,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each document of a data set, from its files: ``ROWS``; ``start`` is the offset in the
     whole, the crc is of the ids as unsigned 32-bit integers."""
-    folder = _plain(folder)
+    folder = plain_path(folder)
     manifest = spark.read.parquet(f"{folder}/manifest")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(folder)
+        disk, root = store(folder)
         for batch in batches:
             for p in batch.to_pylist():
                 path, kind = f"{root}/{p['file']}", f"<u{p['width']}"
-                whole = lambda end, t: np.frombuffer(store.open_input_stream(f"{path}.{end}").read(), t)
+                whole = lambda end, t: np.frombuffer(disk.open_input_stream(f"{path}.{end}").read(), t)
                 offsets, keys = whole("idx", "<i8"), whole("doc", "<i8")
-                local = isinstance(store, pafs.LocalFileSystem)
+                local = isinstance(disk, pafs.LocalFileSystem)
                 mapped = np.memmap(f"{path}.ids", dtype=kind, mode="r") if local else None
-                remote = None if local else store.open_input_file(f"{path}.ids")
+                remote = None if local else disk.open_input_file(f"{path}.ids")
                 for at in range(0, len(keys), 4096):
                     ends = offsets[at : at + 4097]
                     span = mapped[ends[0] : ends[-1]] if local else np.frombuffer(

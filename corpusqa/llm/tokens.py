@@ -23,20 +23,22 @@ _OPEN: dict[tuple[str, str], "Encoder"] = {}
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Pieces longer than this are not remembered.
 _LONG = 40
+#: Bytes that a remembered piece takes besides its letters and ids: two objects and a place in the table.
+_ENTRY = 150
 
 
 class Encoder(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit integers. It takes in new pieces up to
-    ``limit``; later ones are encoded each time."""
+    """Piece of text to its ids as little-endian unsigned 32-bit integers. Remembered pieces take about ``limit`` bytes
+    at most; then the memory is emptied and fills anew."""
 
-    def __init__(self, path: str, kind: str, limit: int = 2_000_000):
+    def __init__(self, path: str, kind: str, limit: int = 48 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         if kind not in ("byte", "word"):
             raise ValueError(f"kind is byte or word, not {kind!r}")
-        self.kind, self.limit = kind, limit
+        self.kind, self.limit, self.held = kind, limit, 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
@@ -44,10 +46,17 @@ class Encoder(dict):
         ids = self._parts(piece)
         if ids is None:
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < self.limit and len(piece) <= _LONG:
+        if len(piece) <= _LONG:
+            if self.held > self.limit:
+                self.forget()
+            self.held += _ENTRY + len(piece) + len(ids)
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def _parts(self, piece: str) -> bytes | None:
         """Ids of a piece that can be cut further, whose parts are more likely known."""
         core = piece.rstrip(".,;:!?")
@@ -95,3 +104,9 @@ def encoded(texts: list[str | None], path: str, kind: str, end_id: int) -> Itera
     known, end = encoder(path, kind), int(end_id).to_bytes(4, "little")
     for text in texts:
         yield known.ids(text) + end
+
+
+def forget() -> None:
+    """Empties the memories of this worker; tasks call it when they end."""
+    for known in _OPEN.values():
+        known.forget()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import crc_of, kept, small_batches
+from corpusqa.llm.shared import crc_of, kept, lean, small_batches
 
 # Letters of other scripts that look like a Latin one, and substitutions by digits and signs.
 LOOK_ALIKES = {
@@ -224,8 +224,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
     """
     out = docs.drop("score", "predicted", "n_hits")
 
-    @F.pandas_udf("struct<score double, n_hits long>")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def marks(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for series in texts:
             rows = []
@@ -237,6 +236,10 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
             p = _curve(t[:, 0], t[:, 1], lexicon.power, lexicon.slope, lexicon.offset)
             yield pd.DataFrame({"score": p, "n_hits": t[:, 2].astype("int64")})
 
+    @F.pandas_udf("struct<score double, n_hits long>")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return lean(marks)(texts)
+
     out = out.withColumn("_toxic", scored(F.col("text").cast("string")))
     return out.withColumns({
         "score": F.col("_toxic.score"), "n_hits": F.col("_toxic.n_hits"),
