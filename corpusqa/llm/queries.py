@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusqa.llm import decontam, jaccard, linededup, neardup, packing, quality, sharding, tokenfile, toxicity, urltree
+from corpusqa.llm import decontam, jaccard, linededup, neardup, packing, quality, sharding, spelling, tokenfile, toxicity, trie, urltree, warc
 from corpusqa.llm.shared import crc_of, table
 
 #: Bytes of text in a shard.
@@ -72,6 +72,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "shard", "shard_depth", "shard_part")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=1000)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least=6, often=5, slip=199, ratio=5)
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -83,6 +95,9 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_sharding": op10_sharding,
+    "op11_warc": op11_warc,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -90,4 +105,7 @@ SQL: dict[str, str] = {
     "op5_shingle_join": jaccard.sql(3, 90, 100),
     "op6_near_vectors": neardup.SQL,
     "op10_sharding": sharding.sql(SHARD_BYTES),
+    "op11_warc": warc.SQL,
+    "op12_conversation_trie": trie.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
