@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.llm.shared import components, forest, kept
@@ -76,6 +76,13 @@ def _tile(threshold: float):
     return run
 
 
+def _in_reach(vector: Column) -> Column:
+    """Vectors whose squares would overflow or vanish, by a power of two nearer to 1: that rounds nothing that counts."""
+    power = F.floor(F.log2(F.array_max(F.transform(vector, F.abs))))
+    half = F.pow(F.lit(2.0), -F.floor(power / 2))  # twice, as the whole may be out of reach itself
+    return F.when(F.abs(power) > 300, F.transform(vector, lambda v: v * half * half)).otherwise(vector)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
     """A row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -92,7 +99,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & F.forall(
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
-    good = rows.where(F.coalesce(sound, F.lit(False)))
+    good = rows.where(F.coalesce(sound, F.lit(False))).withColumn("vector", _in_reach(x))
     nodes = good.groupBy("label", "vector").agg(F.count("*").alias("copies")).withColumn("size", F.size("vector"))
     nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # numbered once, then read
     blocks = nodes.groupBy("label", "size").agg(F.ceil(F.count("*") / block).alias("blocks"))
@@ -105,7 +112,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     facts = nodes.select("node", "label", "vector", "copies").join(links, "node", "left").join(roots, "node", "left").select(
         "label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     placed = kept(good.join(facts, ["label", "vector"]).select("vec_id", "n_links", "root"), "placed")
-    smallest = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    # Written, so that adaptive execution may split a root that holds many rows.
+    smallest = kept(placed.groupBy("root").agg(F.min("vec_id").alias("component_id")), "smallest")
     linked = placed.join(smallest, "root").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusqa.sources.tables import scratch_folder as shared_folder, written as kept  # noqa: F401
+
 U64 = np.uint64
 
 
@@ -21,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusqa-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def store(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or address, and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
@@ -41,15 +31,6 @@ def plain_path(path: str) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: lineage ends there, so an
-    executor that is lost later costs no more than reading the files again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusqa-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_of(key: str | Column) -> Column:
     """crc32 of a key as decimal text: how labelled rows are held out."""
     return F.crc32(F.col(key).cast("string").cast("binary")) if isinstance(key, str) else F.crc32(key.cast("string").cast("binary"))
@@ -107,16 +88,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
 
 
-def lean(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
-    """``run`` as the function of a task that leaves no memory behind in its worker process, which the tasks of later stages
-    use again: ``forget`` is called at the end, and freed memory goes back to the system."""
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` as the function of a task that leaves no free memory behind in its worker process, which the tasks of later
+    stages use again: what is freed goes back to the system."""
 
     def task(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            for f in forget:
-                f()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
