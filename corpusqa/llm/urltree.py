@@ -2,13 +2,13 @@
 
 Urls that a rule fits are the labelled ones. For each host, paths grow a tree segment by segment:
 
-* a segment that is too rare among its siblings is *variable* and becomes the wildcard ``*``;
+* a segment that is too rare among its siblings is *variable* and becomes a wildcard;
 * siblings whose rows are labelled alike (the same quarters of the smoothed block and allow shares) are
   *merged* into one branch;
 * at a path's end stands a template, and it is rejected if its smoothed share of blocked rows among labelled ones
   reaches the threshold. Templates without labels fall back on the prior, which never rejects.
 
-Every level is an aggregate over (branch, segment); at most ``1 / min_share`` segments of a branch survive as
+Every round is an aggregate over branches and one over (branch, segment); at most ``1 / min_share`` segments of a branch survive as
 literals. Rows are only ever joined with these.
 """
 
@@ -42,34 +42,57 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def templates(paths: DataFrame, min_rows: int = 5, min_share: float = 0.01, depth: int | None = None) -> DataFrame:
-    """``paths`` (host, path, n, blocked, allowed) with ``template``. Levels go on while a branch has ``min_rows`` rows
-    below it; with fewer, all its segments are variable. Segments below ``depth``, if that is given, are one ``**``."""
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = kept(paths.withColumns({"parts": parts, "branch": F.col("host")}), "paths")
-    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    levels = deepest if depth is None else min(depth, deepest)
-    sums = lambda: [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
-    for d in range(levels):
-        part = F.get("parts", F.lit(d))
-        inner = rows.where(F.size("parts") > d)
-        if inner.groupBy("branch").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows).isEmpty():
-            rest = F.least(F.size("parts"), F.lit(levels)) - d
-            rows = rows.withColumn("branch", F.concat("branch", F.repeat(F.lit("/*"), F.greatest(rest, F.lit(0)))))
+    """``paths`` (host, path, n, blocked, allowed) with ``template``. A branch with fewer than ``min_rows`` rows is not grown
+    further: all its segments are variable. Segments below ``depth``, if that is given, are one ``**``.
+
+    In a template ``*`` stands for a variable segment and ``*23`` for merged ones; a segment's own ``*`` and ``~`` are written
+    ``~1`` and ``~0``, so that neither is taken for the other.
+
+    A round grows all branches by what their rows have in common and one segment more, so there are as many rounds as a
+    path has splits, not segments. Rows whose template is settled leave.
+    """
+    parts = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.replace(F.replace(x, F.lit("~"), F.lit("~0")), F.lit("*"), F.lit("~1")))
+    keys = ["host", "path", "n", "blocked", "allowed"]
+    rest = F.col("rest")
+    limited = parts if depth is None else F.slice(parts, 1, depth)
+    end = F.lit("") if depth is None else F.when(F.size(parts) > depth, F.lit("/**")).otherwise(F.lit(""))
+    rows = kept(paths.select(*keys, F.col("host").alias("branch"), limited.alias("rest"), end.alias("end")), "paths")
+    settled: list[DataFrame] = []
+
+    def out(some: DataFrame) -> DataFrame:
+        """All that is left of these paths is variable, or nothing is left."""
+        return some.select(*keys, F.concat("branch", F.repeat(F.lit("/*"), F.size("rest")), "end").alias("template"))
+
+    while True:
+        # What all rows of a branch begin with is what the first and the last of them have in common.
+        facts = rows.groupBy("branch").agg(F.sum("n").alias("all_n"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        differ = F.filter(F.sequence(F.lit(0), F.size("low")), lambda i: (i == F.size("low")) | (F.get("low", i) != F.get("high", i)))
+        facts = kept(facts.select("branch", "all_n", F.get(differ, F.lit(0)).alias("common")), "branches")
+        met = rows.join(facts, "branch")
+        settled.append(out(met.where(F.col("all_n") < min_rows)))
+        grown = met.where(F.col("all_n") >= min_rows).select(
+            *keys, F.concat_ws("/", F.array("branch"), F.slice("rest", F.lit(1), F.col("common"))).alias("branch"),
+            F.slice("rest", F.col("common") + 1, F.size("rest")).alias("rest"), "end")
+        grown = kept(grown, "grown")
+        settled.append(out(grown.where(F.size("rest") == 0)))
+        inner = grown.where(F.size("rest") > 0)
+        if inner.isEmpty():
             break
-        children = inner.groupBy("branch", part.alias("part")).agg(*sums())
+        children = inner.groupBy("branch", F.get("rest", F.lit(0)).alias("part")).agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")])
         of = children.groupBy("branch").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
         usual = children.join(of, "branch").where((F.col("n") >= min_rows) & (F.col("n") >= min_share * F.col("all_n")))
         quarter = lambda c: F.round(4 * (F.col(c) + F.col(f"all_{c}") / F.col("all_n")) / (F.col("n") + 1)).cast("int")
         usual = usual.select("branch", "part", quarter("blocked").alias("b"), quarter("allowed").alias("a"))
         alike = usual.groupBy("branch", "b", "a").agg(F.count("*").alias("members"))
         token = F.when(F.col("members") == 1, F.col("part")).otherwise(F.format_string("*%d%d", "b", "a"))
-        named = usual.join(alike, ["branch", "b", "a"]).select("branch", F.col("part").alias("_part"), token.alias("_token"))
-        rows = rows.withColumn("_part", part).join(named, ["branch", "_part"], "left").withColumn(
-            "branch", F.when(F.size("parts") > d, F.concat("branch", F.lit("/"), F.coalesce("_token", F.lit("*")))).otherwise(F.col("branch"))
-        ).drop("_part", "_token")
-        rows = kept(rows, "branches")
-    end = F.when(F.size("parts") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("branch", end)).drop("parts", "branch")
+        named = kept(usual.join(alike, ["branch", "b", "a"]).select("branch", "part", token.alias("token")), "tokens")
+        rows = kept(inner.withColumn("part", F.get("rest", F.lit(0))).join(named, ["branch", "part"], "left").select(
+            *keys, F.concat("branch", F.lit("/"), F.coalesce("token", F.lit("*"))).alias("branch"),
+            F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), "end"), "rows")
+    all_rows = settled[0]
+    for more in settled[1:]:
+        all_rows = all_rows.unionAll(more)
+    return all_rows
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.8, prior_rows: float = 4.0, **tree) -> DataFrame:
@@ -88,7 +111,8 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.8, prior_row
     sums = made.agg(F.sum("blocked"), F.sum(F.col("blocked") + F.col("allowed"))).first()
     prior = min(0.5, (sums[0] or 0) / (sums[1] or 1))
     purity = (F.col("b") + prior_rows * prior) / (F.col("l") + prior_rows)
-    judged = made.groupBy("template").agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l")).select("template", purity.alias("purity"))
+    judged = kept(made.groupBy("template").agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l")).select(
+        "template", purity.alias("purity")), "judged")
     known = made.join(judged, "template").select("host", "path", "template", "purity")
     return rows.join(known, ["host", "path"]).select(
         "page_id", "host", "path", "rule",
