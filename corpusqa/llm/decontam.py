@@ -9,7 +9,7 @@ Long items are searched by pieces: of ``m`` pieces of an item, one at least has
    three-word runs. Window starts with fewer runs of any item ahead of them are left out; this loses nothing. Where
    that bound is below 1, or no number of walks reaches the target recall, and for items under ``_SHORT`` words,
    steps 2 and 3 are left out: a window is a candidate if it has as many of the item's own runs (of three, two or
-   one words) as such a bound asks for, which loses nothing either. Items of one or two words are not searched.
+   one words) as such a bound asks for, which loses nothing either.
 2. *Embedding.* From each remaining start, and for each class of piece sizes, CGK random walks copy words and advance
    by one on a random bit of (step, word): few edits become few differing places. Words that no item has walk on
    their own hashes too.
@@ -23,17 +23,20 @@ Items come in blocks of bounded number, each one pass in the same scan. Document
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache, reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusqa.llm.shared import WordHashes, lean, mix
+from corpusqa.llm.shared import WordHashes, lean, mix, plain_path, shared_folder, store
 
 U64 = np.uint64
 HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
@@ -127,7 +130,7 @@ class Matcher:
         self.known = {w: U64(xxhash.xxh3_64_intdigest(w) | 1) for _, ws in split for w in ws}
         self.others = WordHashes()
         words = [(i, self._numbers(ws)) for i, ws in split]
-        self.items = [(i, w) for i, w in words if len(w) > 2]
+        self.items = [(i, w) for i, w in words if len(w)]
         self.edits = [int(max_edits * len(w) + 1e-9) for _, w in self.items]
         if not self.items:
             return
@@ -217,6 +220,8 @@ class Matcher:
         run = mix(mix(mix(words[at]) + words[at + 1]) + words[at + 2])
         may = self.bits[run & U64((1 << 22) - 1)]
         at, run = at[may], run[may]
+        if not len(run):
+            return at
         return at[self.runs[np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)] == run]
 
     def _sizes(self) -> list[list[int]]:
@@ -317,26 +322,36 @@ class Matcher:
 def with_hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, block: int = 20_000) -> DataFrame:
     """``docs`` with ``hits``: for each item found, its id, the edits and the words [start, end) of the nearest passage.
 
-    ``items`` has (item_id, text). It is read ``block`` items (or 300 letters for each) at a time; a block is all that is sent to the
-    executors at once. Signs read as white space, A-Z are lower-cased. Whole texts are read.
+    ``items`` has (item_id, text). It is written into the shared folder in blocks of ``block`` items (or 300 letters for each), which the
+    tasks read. Signs read as white space, A-Z are lower-cased. Whole texts are read.
 
-    Items of one or two words, which say too little to be a leak, and of none (null and empty) or without an id: never found. Null or empty text: no
-    hits. Null doc_id, repeated rows: each row by itself. Items that repeat an id are found each. Empty tables: no
+    Items of no words (null and empty) or without an id: never found. Null or empty text: no hits. Null doc_id, repeated rows: each row by itself. Items that repeat an id are found each. Empty tables: no
     hits, no rows. A column ``hits`` of ``docs`` is replaced.
     """
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     n, letters = asked.agg(F.count("*"), F.sum(F.length("text"))).first()
     blocks = max(1, -(-n // block), -(-(letters or 0) // (300 * block)))
-    found = []
-    for k in range(blocks):
-        mine = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        found.append(_finder(mine, max_edits)(F.col("text").cast("string")))
+    folder = f"{shared_folder(docs.sparkSession)}/corpusqa-items-{uuid.uuid4().hex}"
+    asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    found = [_finder(f"{plain_path(folder)}/block={k}", max_edits)(F.col("text").cast("string")) for k in range(blocks)]
     return docs.drop("hits").withColumn("hits", found[0] if len(found) == 1 else F.concat(*found))
 
 
-def _finder(items: list[tuple[int, str | None]], max_edits: float):
+def _items(folder: str) -> list[tuple[int, str | None]]:
+    """A block of items, read by the task; a block without items has no folder."""
+    disk, path = store(folder)
+    out = []
+    for info in disk.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with disk.open_input_file(info.path) as file:
+                rows = pq.read_table(file, columns=["item_id", "text"])
+            out += zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+    return sorted(out, key=lambda r: (r[0], r[1] or ""))
+
+
+def _finder(folder: str, max_edits: float):
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(items, max_edits)
+        matcher = Matcher(_items(folder), max_edits)
         for series in texts:
             yield pd.Series(matcher.of(series.tolist()), dtype=object)
 
@@ -353,5 +368,6 @@ def hits(docs: DataFrame, items: DataFrame, max_edits: float = 0.2) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame, max_edits: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
-    return with_hits(docs, items, max_edits).where(F.size("hits") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` in which no item is found, with all their columns, whatever they are called."""
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return with_hits(rows, items, max_edits).where(F.size("hits") == 0).select("row.*")
