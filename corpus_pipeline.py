@@ -21,13 +21,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the lexicon rejects go."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("text", "_row"), lexicon)
-    return scored.where("predicted = 0").select("_row.*")
+    scored = toxicity.score(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")), lexicon)
+    return scored.where("predicted = 0").select("whole.*")
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: lines that repeat across documents stay in one of them. Every document stays."""
-    lean = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs)).drop("_n_lines", "_n_dropped")
+    lean = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     return lean.withColumn("n_chars", F.char_length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -65,7 +65,7 @@ class Lexicon:
     words: dict[str, float]
     beginnings: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
-    power: float = 0.0
+    power: float = 0.5
     slope: float = 1.0
     offset: float = -1.0
 
@@ -200,7 +200,7 @@ def _sums(lexicon: Lexicon, with_text: bool = False):
 def calibrate(lexicon: Lexicon, total: np.ndarray, words: np.ndarray, label: np.ndarray) -> None:
     """Power, slope and offset of least penalised log loss. With one class or no row, the share of toxic rows."""
     best = math.inf
-    for power in (0.0, 0.1, 0.25, 0.5, 1.0):
+    for power in (0.1, 0.25, 0.5, 1.0):
         x = np.log1p(total / np.maximum(words, 1.0) ** power)
         slope, offset = 0.0, 0.0
         for _ in range(60):
@@ -220,9 +220,10 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
     """``docs`` with ``score`` (double, 0 to 1), ``predicted`` (int) and ``n_hits`` (long). Whole texts are read.
 
     Null or empty text: the score of a text without hits. Null doc_id, repeated rows: each row by itself.
-    Empty table: no rows. Columns of ``docs`` with these names are replaced.
+    Empty table: no rows. Columns of ``docs`` with these names are replaced; others may have any names.
     """
-    out = docs.drop("score", "predicted", "n_hits")
+    names = [n for n in docs.columns if n not in ("score", "predicted", "n_hits")]
+    out = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), "text")
 
     def marks(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -240,7 +241,6 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return lean(marks)(texts)
 
-    out = out.withColumn("_toxic", scored(F.col("text").cast("string")))
-    return out.withColumns({
-        "score": F.col("_toxic.score"), "n_hits": F.col("_toxic.n_hits"),
-        "predicted": (F.col("_toxic.score") >= threshold).cast("int")}).drop("_toxic")
+    found = out.withColumn("found", scored(F.col("text").cast("string")))
+    return found.select("row.*", F.col("found.score").alias("score"), F.col("found.n_hits").alias("n_hits"),
+                        (F.col("found.score") >= threshold).cast("int").alias("predicted"))
