@@ -384,7 +384,8 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     rooted = nodes.select("doc_id", "n", "key")
     rooted = rooted.join(comps, "key", "left").withColumn("root", F.coalesce("root", "key")) if comps is not None else rooted.withColumn("root", F.col("key"))
     rooted = kept(rooted.select("doc_id", "n", "root"), "rooted")
-    low = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that adaptive execution may split a root that holds many rows.
+    low = kept(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
     placed = rooted.join(low, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.hex("root").alias("group"))
     alone = every.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("group"))
     return placed.unionAll(alone)
@@ -401,14 +402,19 @@ def _cluster_links(docs: DataFrame, every: DataFrame, words: int, num: int, den:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group, with all their columns.
+    """The rows of ``docs`` whose document is the first of its group, with all their columns, whatever they are called.
 
     Documents that link with nothing stay, those without text or id too. Rows that share an id stay if one of
     them does.
     """
     found = similar(docs, words, num, den)
-    lost = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("lost")).where("lost").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_lost"), "left_anti")
+    lost = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("lost")).where("lost").select(
+        F.col("doc_id").alias("lost_id"), F.pmod("doc_id", F.lit(1)).cast("long").alias("lost_salt"))  # 0, but nothing to fold
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    # Rows without an id link with nothing; they are spread over the join by their text.
+    salt = F.when(F.col("id").isNull(), F.xxhash64("row.text")).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("salt", salt).join(
+        lost.hint("merge"), (F.col("id") == F.col("lost_id")) & (F.col("salt") == F.col("lost_salt")), "left_anti").select("row.*")
 
 
 def sql(words: int, num: int, den: int) -> str:

@@ -92,18 +92,21 @@ def _left(all_lines: Column, runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the lost lines taken out of ``text``, and ``_n_lines``, ``_n_dropped``.
+    """All columns of ``docs`` with the lost lines taken out of ``text``, and ``_n_lines``, ``_n_dropped``, which
+    replace columns of these names. Other columns may have any names.
 
     Rows without a bitmap keep their text as it is, null included."""
-    names = docs.columns
-    # The bitmaps grow with the corpus, so this is a merge join at every size.
-    b = bitmaps.hint("merge").select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_dropped"))
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(b, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_body")), "left")
-    split = lines(F.col("text"))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(_left(split, F.col("_dropped")), "\n"))
+    names = [n for n in docs.columns if n not in ("_n_lines", "_n_dropped")]
+    # The bitmaps grow with the corpus, so this is a merge join at every size. Null ids are spread by their texts.
+    b = bitmaps.hint("merge").select("doc", "body", "n_dropped", "dropped")
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    joined = rows.join(b, (F.col("id") == F.col("doc")) & (F.col("key") == F.col("body")), "left")
+    whole = F.col("row.text")
+    split = lines(whole)
+    text = F.when(F.col("dropped").isNull(), whole).otherwise(F.array_join(_left(split, F.col("dropped")), "\n"))
     return joined.select(
-        *(text.alias("text") if n == "text" else F.col(f"`{n}`") for n in names),
-        F.size(split).cast("long").alias("_n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("_n_dropped"))
+        *(text.alias("text") if n == "text" else F.col("row").getField(n).alias(n) for n in names),
+        F.size(split).cast("long").alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
 
 
 def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -75,11 +75,13 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
     Null text: 0 bytes. Null doc_id: addressed by its text. Wholly repeated rows share an address and no
     bit splits them; only if together they are over the limit are they dealt into numbered parts of what
     fits, counted within each input partition (``shard_part``, else 0). Empty table: no rows. Columns of
-    ``docs`` with these names are replaced.
+    ``docs`` with these names are replaced; others may have any names.
     """
-    made = ("shard", "shard_depth", "shard_part", "n_bytes", "_address")
-    out = docs.drop(*made).withColumns({
-        "_address": address(), "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    made = ("shard", "shard_depth", "shard_part", "n_bytes")
+    names = [n for n in docs.columns if n not in made]
+    out = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), address().alias("_address"),
+                      F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    result = ["row.*", "n_bytes", "shard_depth", "shard", "shard_part"]
     sizes = kept(out.select(F.col("_address").alias("address"), F.col("n_bytes").alias("bytes")), "sizes")
     depth = F.lit(None).cast("int")
     levels = directory(sizes, limit)
@@ -93,7 +95,7 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
     out = out.withColumn("shard", number).drop(*(f"_{n}{k}" for n in ("cell", "depth") for k in range(len(levels))))
     last, bits = levels[-1]
     if bits < BITS or last.where("depth is null").isEmpty():
-        return out.withColumn("shard_part", F.lit(0).cast("long")).drop("_address")
+        return out.withColumn("shard_part", F.lit(0).cast("long")).select(*result)
     stuck = last.where("depth is null").select(F.col("cell").alias("_cell"))
     split = out.withColumn("_in", F.spark_partition_id())
     some = split.join(_sized(stuck), F.col("_address") == F.col("_cell"), "left_semi")
@@ -101,7 +103,7 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes")))
     some = some.withColumn("shard_part", (F.col("_in") * F.lit(1 << 32) + F.floor((nth - 1) / room)).cast("long"))
     others = split.join(_sized(stuck), F.col("_address") == F.col("_cell"), "left_anti").withColumn("shard_part", F.lit(0).cast("long"))
-    return others.unionByName(some).drop("_address", "_in")
+    return others.unionByName(some).select(*result)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
