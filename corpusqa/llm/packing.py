@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.llm.shared import lean, small_batches
-from corpusqa.llm.tokens import encoded, forget
+from corpusqa.llm.tokens import encoded
 
 PIECES = ("doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "
           "bucket int, offset long")
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, l
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW)], schema=_ARROW)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(cut, forget), PIECES).withColumn("sequence_id", F.monotonically_increasing_id())
+    return rows.mapInArrow(lean(cut), PIECES).withColumn("sequence_id", F.monotonically_increasing_id())
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

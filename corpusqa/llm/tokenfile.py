@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusqa.llm.shared import lean, plain_path, shared_folder, small_batches, store
-from corpusqa.llm.tokens import encoded, forget
+from corpusqa.llm.tokens import encoded
 
 NO_ID = np.iinfo(np.int64).min
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -82,7 +82,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [count], "n_ids": [total]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(lean(put, forget), _PART)
+    made = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(lean(put), _PART)
     made.write.parquet(f"{folder}/parts")
     done = spark.read.schema(_PART).parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
