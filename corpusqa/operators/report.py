@@ -19,70 +19,41 @@ def advice(docs: DataFrame, lang: Column, practices: dict = V.BEST_PRACTICES,
     return rows if first is None else rows.filter(F.col("position") <= first)
 
 
-def recommendations(metrics: DataFrame) -> DataFrame:
+def recommendations(metrics: DataFrame, limits: V.Limits = V.LIMITS) -> DataFrame:
     """Recommendation rows of a corpus-metrics row: position, topic, text."""
     m = F.col
     total = (m("code_smell_count") + m("security_issue_count")
              + m("performance_issue_count") + m("style_issue_count"))
-    table = [
-        ("style", m("style_issue_count") > 10,
-         F.lit("Enforce a consistent code style across the project")),
-        ("style", m("style_issue_count") > 10,
-         F.lit("Consider using a linter or automated formatter")),
-        ("security", m("security_issue_count") > 3,
-         F.lit("Conduct a thorough security review and consider automated security scanning")),
-        ("project", m("comment_density") < 0.1,
-         F.lit("Improve code documentation - current comment density is too low")),
-        ("project", m("technical_debt_days") > 10,
-         F.concat(F.lit("Allocate time to address technical debt (estimated at "),
-                  m("technical_debt_days").cast("string"), F.lit(" days)"))),
-        ("project", m("maintainability_rating").isin("Poor", "Very Poor"),
-         F.lit("Consider a significant refactoring effort to improve maintainability")),
-        ("report", m("maintainability_index") < 59.5,
-         F.lit("Improve overall code maintainability (score is low).")),
-        ("report", m("comment_density") < 0.1,
-         F.lit("Increase code documentation (comment density is low).")),
-        ("report", m("security_issue_count") > 0,
-         F.lit("Address detected security vulnerabilities.")),
-        ("report", total > 50,
-         F.lit("Prioritize fixing the high number of detected code issues.")),
-    ]
-    clean = ~(m("maintainability_index") < 59.5) & ~(m("comment_density") < 0.1) \
-        & ~(m("security_issue_count") > 0) & ~(total > 50)
-    table.append(("report", clean,
-                  F.lit("Code looks relatively clean based on available metrics!")))
+    low_index = m("maintainability_index") < limits.index
+    low_density = m("comment_density") < limits.density
+    insecure, many = m("security_issue_count") > 0, total > limits.issues
+    applies = {
+        "style": m("style_issue_count") > limits.style, "linter": m("style_issue_count") > limits.style,
+        "security": m("security_issue_count") > limits.security, "documentation": low_density,
+        "debt": m("technical_debt_days") > limits.debt_days,
+        "refactoring": m("maintainability_rating").isin(*limits.ratings),
+        "report_index": low_index, "report_density": low_density, "report_security": insecure, "report_issues": many,
+        "report_clean": ~low_index & ~low_density & ~insecure & ~many,
+    }
+    days = m("technical_debt_days").cast("string")
     rows = F.array(*[F.struct(
-        F.lit(i + 1).alias("position"), F.lit(topic).alias("topic"), text.alias("text"),
-        cond.alias("applies")) for i, (topic, cond, text) in enumerate(table)])
+        F.lit(i + 1).alias("position"), F.lit(topic).alias("topic"),
+        (F.format_string(text, days) if "%s" in text else F.lit(text)).alias("text"),
+        applies[name].alias("applies")) for i, (name, topic, text) in enumerate(V.RECOMMENDATIONS)])
     return metrics.select(F.inline(F.filter(rows, lambda r: r["applies"]))).drop("applies")
 
 
-_SMELL_ADVICE = {
-    "long_function": "Refactor %d long functions by breaking them into smaller, more focused methods",
-    "too_many_parameters": "Reduce parameter count in %d functions by using parameter objects or restructuring",
-    "deep_nesting": "Fix %d instances of deep nesting by extracting methods or using early returns",
-    "duplicate_code": "Eliminate %d duplicated code blocks by creating reusable functions",
-}
-TYPE_ADVICE = {
-    "sql_injection": "Use parameterized statements or ORM instead of string concatenation for SQL queries",
-    "xss": "Sanitize output and use safer DOM manipulation methods instead of innerHTML",
-    "hardcoded_credentials": "Move hardcoded credentials to environment variables or a secure credential store",
-    "nested_loops": "Optimize nested loops to reduce algorithmic complexity",
-    "inefficient_loop": "Replace inefficient loop patterns with more optimized approaches",
-}
-
-
 def smell_recommendations(top_types: DataFrame) -> DataFrame:
     """One line per most frequent smell type (rows type, n)."""
-    text = F.format_string("Address %d instances of '%s'", F.col("n"), F.col("type"))
-    for name, message in _SMELL_ADVICE.items():
+    text = F.format_string(V.OTHER_SMELL_ADVICE, F.col("n"), F.col("type"))
+    for name, message in V.SMELL_ADVICE.items():
         text = F.when(F.col("type") == name, F.format_string(message, F.col("n"))).otherwise(text)
     return top_types.select("type", "n", text.alias("text"))
 
 
 def type_recommendations(counts: DataFrame) -> DataFrame:
     """One line per security or performance type that occurs (rows category, type, n)."""
-    table = F.create_map(*[x for kv in TYPE_ADVICE.items() for x in map(F.lit, kv)])
+    table = F.create_map(*[x for kv in V.TYPE_ADVICE.items() for x in map(F.lit, kv)])
     return (counts.filter(F.col("category").isin(V.SECURITY, V.PERFORMANCE))
             .select("category", "type", table[F.col("type")].alias("text"))
             .filter(F.col("text").isNotNull()))

@@ -302,7 +302,7 @@ UNION ALL SELECT 'persona', persona, count(*)::BIGINT FROM f WHERE persona IS NO
         "report_advice": f"""WITH q AS ({registered['recommendations']}) SELECT * FROM q WHERE topic <> 'report'
   OR NOT EXISTS (SELECT 1 FROM q WHERE topic <> 'report')""",
         "type_recommendations": " UNION ALL ".join(
-            f"SELECT DISTINCT {O.text(r.category)} AS category, {O.text(r.name)} AS type, {O.text(report.TYPE_ADVICE[r.name])} AS text "
+            f"SELECT DISTINCT {O.text(r.category)} AS category, {O.text(r.name)} AS type, {O.text(V.TYPE_ADVICE[r.name])} AS text "
             f"FROM documents WHERE regexp_matches(text, {O.text(r.pattern)})" for r in TYPE_RULES if r.category in (V.SECURITY, V.PERFORMANCE)),
         "advisory_versions": f"WITH {findings} SELECT p_partkey, package, installed, id, answer FROM fd",
         "parsed_requirements": f"WITH {versions} SELECT p_partkey, package, operator, installed FROM v",

@@ -224,13 +224,13 @@ def issues_cte() -> str:
     return f"""{L}, {hits_cte(Q.RULES)}, {islands_cte(CODE_TEST)}, {WINDOWS},
 sm AS (SELECT wk.doc_id, any_value(dk.n_locations) AS n_locations, min(wk.c) AS c
   FROM wk JOIN dk USING (key) GROUP BY wk.doc_id, wk.key),
-iss AS (SELECT {ISSUE_COLS} FROM h
-  UNION ALL SELECT doc_id, {text(category)}, {text(name)}, {text(description)}, {text(severity)}, n
+iss AS (SELECT {ISSUE_COLS}, context FROM h
+  UNION ALL SELECT doc_id, {text(category)}, {text(name)}, {text(description)}, {text(severity)}, n, NULL
     FROM l WHERE length(s) > {V.LONG_LINE_CHARS}
   UNION ALL SELECT doc_id, '{V.CODE_SMELLS}', 'commented_code',
-    'Commented-out code block (lines ' || line || '-' || end_line || ')', 'low', line FROM isl
+    'Commented-out code block (lines ' || line || '-' || end_line || ')', 'low', line, NULL FROM isl
   UNION ALL SELECT doc_id, '{V.CODE_SMELLS}', 'duplicate_code',
-    'Part of duplicated code block (5 lines) found in ' || n_locations || ' location(s)', 'high', c
+    'Part of duplicated code block (5 lines) found in ' || n_locations || ' location(s)', 'high', c, NULL
     FROM sm)"""
 
 
@@ -493,6 +493,14 @@ UNION ALL SELECT 7, 'Security issues', security_issue_count::VARCHAR FROM a
 UNION ALL SELECT 8, 'Performance issues', performance_issue_count::VARCHAR FROM a
 UNION ALL SELECT 9, 'Style issues', style_issue_count::VARCHAR FROM a
 UNION ALL SELECT 10, 'Duplicated code blocks', duplicated_code_blocks::VARCHAR FROM a""",
+        "file_details_json": f"""WITH {issues_cte()}, fs AS ({file_stats(_basic_default(), 'doc_id, lang')}),
+fi AS (SELECT *, '{{"line":' || line || ',"type":' || to_json(type) || ',"description":' || to_json(description) || ',"severity":'
+  || to_json(severity) || CASE WHEN context IS NULL THEN '' ELSE ',"context":' || to_json(context) END || '}}' AS item FROM iss),
+fd AS (SELECT doc_id, {', '.join(f"coalesce(string_agg(item, ',' ORDER BY line, type, description, severity, context NULLS FIRST) FILTER (category = '{c}'), '') AS {c}" for c in V.CATEGORIES)}
+  FROM fi GROUP BY doc_id)
+SELECT fs.doc_id, '{{"lang":' || to_json(lang) || ',"lines":' || lines || ',"code":' || code || ',"comments":' || comments || ',"blank":' || blank
+  || ',"all_issues":{{' || CASE WHEN fd.doc_id IS NULL THEN '' ELSE {" || ',' || ".join(f"'{chr(34)}{c}{chr(34)}:[' || {c} || ']'" for c in V.CATEGORIES)} END || '}}}}' AS details_json
+  FROM fs LEFT JOIN fd ON fd.doc_id = fs.doc_id""",
         "style_metrics": f"""WITH {style_cte()} SELECT doc_id, loc, comment_lines, {_r6('density', 'avg_len')} FROM st""",
         "file_persona": f"""WITH {style_cte()} SELECT doc_id, loc, comment_lines, {_r6('density', 'avg_len')},
   snake, camel, pascal, screaming, todo, fixme, hack, xxx, note, simple_hits, words, "references", persona FROM st""",

@@ -290,6 +290,51 @@ MAX_PARAMETERS = 5
 MAX_FUNCTION_LINES = 50
 MAX_COMPLEXITY = 10
 MAX_NESTING = 4
+
+# Recommendations in their order: name, topic, text.
+RECOMMENDATIONS = (
+    ("style", "style", "Enforce a consistent code style across the project"),
+    ("linter", "style", "Consider using a linter or automated formatter"),
+    ("security", "security", "Conduct a thorough security review and consider automated security scanning"),
+    ("documentation", "project", "Improve code documentation - current comment density is too low"),
+    ("debt", "project", "Allocate time to address technical debt (estimated at %s days)"),
+    ("refactoring", "project", "Consider a significant refactoring effort to improve maintainability"),
+    ("report_index", "report", "Improve overall code maintainability (score is low)."),
+    ("report_density", "report", "Increase code documentation (comment density is low)."),
+    ("report_security", "report", "Address detected security vulnerabilities."),
+    ("report_issues", "report", "Prioritize fixing the high number of detected code issues."),
+    ("report_clean", "report", "Code looks relatively clean based on available metrics!"),
+)
+OTHER_SMELL_ADVICE = "Address %d instances of '%s'"
+SMELL_ADVICE = {
+    "long_function": "Refactor %d long functions by breaking them into smaller, more focused methods",
+    "too_many_parameters": "Reduce parameter count in %d functions by using parameter objects or restructuring",
+    "deep_nesting": "Fix %d instances of deep nesting by extracting methods or using early returns",
+    "duplicate_code": "Eliminate %d duplicated code blocks by creating reusable functions",
+}
+TYPE_ADVICE = {
+    "sql_injection": "Use parameterized statements or ORM instead of string concatenation for SQL queries",
+    "xss": "Sanitize output and use safer DOM manipulation methods instead of innerHTML",
+    "hardcoded_credentials": "Move hardcoded credentials to environment variables or a secure credential store",
+    "nested_loops": "Optimize nested loops to reduce algorithmic complexity",
+    "inefficient_loop": "Replace inefficient loop patterns with more optimized approaches",
+}
+
+
+@dataclass(frozen=True)
+class Limits:
+    """From where on a recommendation is made."""
+
+    style: int = 10
+    security: int = 3
+    density: float = 0.1
+    debt_days: float = 10
+    index: float = 59.5
+    issues: int = 50
+    ratings: tuple[str, ...] = ("Poor", "Very Poor")
+
+
+LIMITS = Limits()
 # ------------------------------------------------------------ end fixed values
 
 # Own choices: how many are too many, and numbers that explain themselves.
