@@ -45,7 +45,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
     ``spark.sql.shuffle.partitions``.
 
     Null or empty text: the end id alone. Null doc_id: first. Repeated rows or ids: each row is a
-    document; equal ids follow each other in order of text. Empty table: an empty manifest.
+    document; equal ids follow each other, dealt to parts by a hash of their text and in order of text within a part. Empty table: an empty manifest.
     """
     if width not in (2, 4):
         raise ValueError("an id has 2 or 4 bytes")

@@ -28,35 +28,39 @@ _ENTRY = 150
 
 
 class Encoder(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit integers. Remembered pieces take about ``limit`` bytes
-    at most; then the memory is emptied and fills anew. Tasks of a worker share it: emptied with each task, it costs half as
-    much time again."""
+    """Piece of text to its ids as little-endian unsigned 32-bit integers. Remembered are pieces that cannot be cut further, in
+    about ``limit`` bytes at most: the first ones, which are mostly the frequent ones. Where they no longer help (four times
+    as many unknown pieces as remembered ones have come since), the memory is emptied and fills anew. Tasks of a worker share it."""
 
-    def __init__(self, path: str, kind: str, limit: int = 80 << 20):
+    def __init__(self, path: str, kind: str, limit: int = 120 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         if kind not in ("byte", "word"):
             raise ValueError(f"kind is byte or word, not {kind!r}")
-        self.kind, self.limit, self.held = kind, limit, 0
+        self.kind, self.limit, self.held, self.missed = kind, limit, 0, 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._parts(piece)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= _LONG:
-            if self.held > self.limit:
+        if ids is not None:
+            return ids
+        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.held <= self.limit:
+            if len(piece) <= _LONG:
+                self.held += _ENTRY + len(piece) + len(ids)
+                self[piece] = ids
+        else:
+            self.missed += 1
+            if self.missed > 4 * len(self):
                 self.forget()
-            self.held += _ENTRY + len(piece) + len(ids)
-            self[piece] = ids
         return ids
 
     def forget(self) -> None:
         self.clear()
-        self.held = 0
+        self.held = self.missed = 0
 
     def _parts(self, piece: str) -> bytes | None:
         """Ids of a piece that can be cut further, whose parts are more likely known."""
