@@ -32,7 +32,7 @@ class Encoder(dict):
     about ``limit`` bytes at most: the first ones, which are mostly the frequent ones. Where they no longer help (four times
     as many unknown pieces as remembered ones have come since), the memory is emptied and fills anew. Tasks of a worker share it."""
 
-    def __init__(self, path: str, kind: str, limit: int = 120 << 20):
+    def __init__(self, path: str, kind: str, limit: int = 200 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
