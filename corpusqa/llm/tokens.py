@@ -28,7 +28,7 @@ _ENTRY = 150
 
 
 class Encoder(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit integers. Remembered are pieces that cannot be cut further, in
+    """Piece of text to its ids as little-endian unsigned 32-bit integers. Remembered are pieces that cannot be cut further (and words with a sign, of the byte kind), in
     about ``limit`` bytes at most: the first ones, which are mostly the frequent ones. Where they no longer help (four times
     as many unknown pieces as remembered ones have come since), the memory is emptied and fills anew. Tasks of a worker share it."""
 
@@ -45,9 +45,10 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._parts(piece)
-        if ids is not None:
-            return ids
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        elif self.kind == "word" or "\n" in piece:
+            return ids  # quickly put together again
         if self.held <= self.limit:
             if len(piece) <= _LONG:
                 self.held += _ENTRY + len(piece) + len(ids)
