@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -10,6 +12,7 @@ from corpusqa.functions.patterns import SPACE_CHARS
 
 # Breaks of Python's splitlines() other than a plain newline; CR LF is one break.
 BREAKS = r"[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}](?:(?<=\r)\n)?"
+BREAK_CHARS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,6 +73,10 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+def has_any(text: Column, parts: Sequence[str]) -> Column:
+    return reduce(or_, [text.contains(p) for p in parts])
+
+
 def lines(text: Column) -> Column:
     """Lines by newline only; a final newline gives a final empty line."""
     return F.split(text, "\n", -1)
@@ -83,7 +90,11 @@ def splitlines(text: Column) -> Column:
         return F.when(unix != "", F.split(body, "\n", -1)).otherwise(
             F.array().cast("array<string>"))
 
-    return let(F.regexp_replace(text, BREAKS, "\n"), cut)
+    def unix(t: Column) -> Column:
+        # Most texts have newlines only; a plain search is cheaper than the pattern.
+        return F.when(has_any(t, BREAK_CHARS), F.regexp_replace(t, BREAKS, "\n")).otherwise(t)
+
+    return let(text, lambda t: let(unix(t), cut))
 
 
 def numbered(items: Column, name: str = "text") -> Column:

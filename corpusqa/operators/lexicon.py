@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +15,9 @@ from corpusqa.functions.patterns import AFTER_WORD, BEFORE_WORD, WORD, WORD_RUN,
 # Where a line comment ends: at its line's end, or ("to_end") at the text's end.
 _REST = {"line": r"[^\n]*+\n?", "to_end": r"(?s:.*+)"}
 _BLOCK = r"(?s:/\*.*?\*/)"
+_COMMENT_STARTS = ("#", "//", "/*")
+_STRING_STARTS = ('"', "'", "`")
+_SEGMENTS = "array<struct<line:int,text:string>>"
 _STRINGS = (r'(?s:""".*?""")', r"(?s:'''.*?''')", r'(?s:".*?")', r"(?s:'.*?')", r"(?s:`.*?`)")
 
 
@@ -32,25 +36,32 @@ def segment_pattern(scope: str = "line") -> str:
 _NO_END = "\uffff"
 
 
-def _segments(text: Column, pattern: str) -> Column:
-    """``matches`` of a pattern with block comments, in time linear in the text.
+def _segments(text: Column, pattern: str, starts: Sequence[str]) -> Column:
+    """``matches`` of a pattern with block comments, in time linear in the text.  Each match starts with one of ``starts``,
+    so that a plain substring search skips most texts of prose.
 
     Each ``/*`` without a ``*/`` behind it would be looked at to the text's end, only to fail;
     behind the last ``*/`` they are made unlike a comment for the search.
     """
-    last = F.instr(F.reverse(text), "/*")  # from the end; 0 if there is no "*/"
-    head = F.when(last > 0, F.length(text) - last + 1).otherwise(0)
-    runs = F.transform(F.regexp_extract_all(text, F.lit(f"{_NO_END}++"), F.lit(0)), lambda r: F.length(r))
-    longest = F.when(text.contains(_NO_END), F.array_max(runs)).otherwise(0)
-    found = F.struct(head.alias("head"), F.concat(F.lit("/"), F.repeat(F.lit(_NO_END), longest + 1), F.lit("*")).alias("mask"))
+    def searched(t: Column) -> Column:
+        last = F.instr(F.reverse(t), "/*")  # from the end; 0 if there is no "*/"
+        head = F.when(last > 0, F.length(t) - last + 1).otherwise(0)
+        runs = F.transform(F.regexp_extract_all(t, F.lit(f"{_NO_END}++"), F.lit(0)), lambda r: F.length(r))
+        longest = F.when(t.contains(_NO_END), F.array_max(runs)).otherwise(0)
+        found = F.struct(head.alias("head"), F.concat(F.lit("/"), F.repeat(F.lit(_NO_END), longest + 1), F.lit("*")).alias("mask"))
 
-    def masked(f: Column) -> Column:
-        return F.struct(F.concat(F.left(text, f["head"]), F.replace(F.substr(text, f["head"] + 1), F.lit("/*"), f["mask"])).alias("text"),
-                        f["mask"].alias("mask"))
+        def masked(f: Column) -> Column:
+            return F.struct(F.concat(F.left(t, f["head"]), F.replace(F.substr(t, f["head"] + 1), F.lit("/*"), f["mask"])).alias("text"),
+                            f["mask"].alias("mask"))
 
-    searched = F.when(text.contains("/*"), TX.let(found, masked)).otherwise(F.struct(text.alias("text"), F.lit("").alias("mask")))
-    return TX.let(searched, lambda s: F.transform(matches(s["text"], pattern), lambda m: F.struct(
-        m["line"].alias("line"), F.replace(m["text"], s["mask"], F.lit("/*")).alias("text"))))
+        return F.when(t.contains("/*"), TX.let(found, masked)).otherwise(F.struct(t.alias("text"), F.lit("").alias("mask")))
+
+    def of(t: Column) -> Column:
+        found = TX.let(searched(t), lambda s: F.transform(matches(s["text"], pattern), lambda m: F.struct(
+            m["line"].alias("line"), F.replace(m["text"], s["mask"], F.lit("/*")).alias("text"))))
+        return F.when(~TX.has_any(t, starts), F.array().cast(_SEGMENTS)).otherwise(found)
+
+    return TX.let(text, of)
 
 
 def _keyword_pattern(word: str) -> str:
@@ -62,7 +73,7 @@ def lexicon_hits(text: Column, words: Sequence[str] = V.KEYWORDS, scope: str = "
                  limit: int = V.CONTEXT_CHARS) -> Column:
     """array<struct<line, keyword, context>>: each word once per segment that has it."""
     any_word = "|".join(f"(?:{_keyword_pattern(w)})" for w in words)
-    segments = F.filter(_segments(text, segment_pattern(scope)),
+    segments = F.filter(_segments(text, segment_pattern(scope), (*_COMMENT_STARTS, *_STRING_STARTS)),
                         lambda s: s["text"].rlike(any_word))
     return F.flatten(F.transform(segments, lambda s: F.transform(
         F.filter(
@@ -107,7 +118,7 @@ def _trim_break(segment: Column) -> Column:
 def marker_counts(text: Column, markers: Sequence[str] = V.TASK_MARKERS,
                   scope: str = "line") -> Column:
     """array<struct<marker, n>>: comments that hold each marker, zero counts too."""
-    return TX.let(_segments(text, comment_pattern(scope)), lambda comments: F.array(*[
+    return TX.let(_segments(text, comment_pattern(scope), _COMMENT_STARTS), lambda comments: F.array(*[
         F.struct(
             F.lit(m).alias("marker"),
             F.size(F.filter(comments, lambda c: c["text"].rlike(
@@ -128,12 +139,47 @@ def marker_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("marker").agg(F.sum("n").alias("n"))
 
 
+_TWO_UNITS = r"[\x{10000}-\x{10ffff}]"
+
+
 def wildcard_count(text: Column, words: Sequence[str] = V.WILDCARD_WORDS) -> Column:
     """Whole-word hits of all words; ``*`` stands for any word characters."""
-    total = F.lit(0)
-    for w in words:
-        total = total + F.regexp_count(text, F.lit(_wildcard_pattern(w)))
-    return total
+    def total(patterns: Sequence[str]) -> Column:
+        return sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0))
+
+    # Behind a letter of two code units a word may start inside another word: each word is counted by itself.
+    return F.when(text.rlike(_TWO_UNITS), total([_wildcard_pattern(w) for w in words])).otherwise(
+        total(_wildcard_patterns(words)))
+
+
+def _wildcard_patterns(words: Sequence[str]) -> list[str]:
+    """Patterns whose hits add up to those of all words, as few as can be.
+
+    A word of letters, digits and ``*`` fits nothing but one whole word, so words that start with different letters
+    never fit the same one and are looked for together.
+    """
+    groups: list[dict[str, str]] = []  # first letter: the rest of the pattern
+    alone = []
+    for word in map(_collapse, words):
+        if not re.fullmatch("[A-Za-z][A-Za-z0-9_*]*", word):
+            alone.append(_wildcard_pattern(word))
+            continue
+        first = word[0].lower()
+        group = next((g for g in groups if first not in g), None)
+        if group is None:
+            groups.append(group := {})
+        group[first] = java(r"\w*".join(literal(part) for part in word[1:].split("*")))
+    return [_merged(g) for g in groups] + alone
+
+
+def _merged(group: dict[str, str]) -> str:
+    by_rest: dict[str, str] = {}
+    for first, rest in group.items():
+        by_rest[rest] = by_rest.get(rest, "") + first
+    branches = "|".join(f"(?<=[{firsts}]){rest}{AFTER_WORD}" for rest, firsts in by_rest.items())
+    # The first letter is tried before the word boundary: it fails sooner.
+    firsts = "".join(group)
+    return f"(?iu)[{firsts}](?<![{WORD}][{firsts}])(?:{branches})"
 
 
 def _wildcard_pattern(word: str) -> str:
@@ -168,11 +214,22 @@ NAMING_PATTERNS = {
     "pascal": r"\b[A-Z][a-z0-9]++(?:[A-Z][a-z0-9]*+)*+\b",
     "screaming": r"\b[A-Z0-9]++(?:_[A-Z0-9]++)++\b",
 }
+# The capital is tried before the word boundary: it fails sooner.
+_PASCAL = f"[A-Z](?<![{WORD}][A-Z])[a-z0-9]++(?:[A-Z][a-z0-9]*+)*+{AFTER_WORD}"
 
 
 def naming_columns(text: Column) -> list[Column]:
-    return [F.regexp_count(text, F.lit(java(p))).alias(name)
-            for name, p in NAMING_PATTERNS.items()]
+    """Counts of each style; what a style cannot do without is looked for first."""
+    def count(name: str) -> Column:
+        return F.regexp_count(text, F.lit(java(NAMING_PATTERNS[name])))
+
+    columns = {
+        "snake": F.when(~text.contains("_"), 0).otherwise(count("snake")),
+        "camel": F.when(~text.rlike("[A-Z](?<=[a-z][A-Z])"), 0).otherwise(count("camel")),
+        "pascal": F.regexp_count(text, F.lit(_PASCAL)),
+        "screaming": F.when(~text.contains("_"), 0).otherwise(count("screaming")),
+    }
+    return [columns[name].alias(name) for name in NAMING_PATTERNS]
 
 
 def naming_styles(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",),

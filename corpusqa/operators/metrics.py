@@ -254,7 +254,7 @@ def style_facts(docs: DataFrame, lang: Column, keys: Sequence[str] = ("doc_id",)
         marker = F.when(lang.isin(*languages), m).otherwise(marker)
     names = ("todo", "fixme", "hack", "xxx", "note")
 
-    def measure(ls: Column, counts: Column) -> Column:
+    def measure(ls: Column, counts: Column, joined: Column) -> Column:
         comments = F.size(F.filter(ls, lambda x: F.startswith(TX.strip(x), marker)))
         lengths = F.transform(F.filter(ls, lambda x: ~TX.is_blank(x)), lambda x: F.length(x))
         chars = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -262,14 +262,15 @@ def style_facts(docs: DataFrame, lang: Column, keys: Sequence[str] = ("doc_id",)
             F.size(ls).alias("loc"), comments.alias("comment_lines"),
             F.when(F.size(ls) > 0, comments / F.size(ls)).alias("density"),
             F.when(F.size(lengths) > 0, chars / F.size(lengths)).otherwise(0.0).alias("avg_len"),
-            *X.naming_columns(F.array_join(ls, "\n")),
+            *X.naming_columns(joined),
             *[F.element_at(counts, i + 1)["n"].alias(n) for i, n in enumerate(names)],
             R.match_counts(text, simple_rules).alias("simple_hits"),
             X.wildcard_count(text, wildcards).alias("words"),
             F.size(X.lexicon_hits(text, words)).alias("references"))
 
     facts = TX.let(TX.splitlines(text), lambda ls: TX.let(
-        X.marker_counts(text, markers), lambda counts: measure(ls, counts)))
+        X.marker_counts(text, markers), lambda counts: TX.let(
+            F.array_join(ls, "\n"), lambda joined: measure(ls, counts, joined))))
     return docs.select(*keys, TX.one_row(facts)).withColumn("persona", F.when(
         F.col("loc") > 0, persona()))
 

@@ -1,5 +1,6 @@
 """Lexicon, markers, names, personas, scores, metrics and reports."""
 
+import random
 import re
 import time
 from collections import Counter
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusqa import values as V
+from corpusqa.functions.patterns import java
 from corpusqa.operators import (lexicon as X, lines as L, metrics as M, rank, report, rules as R)
 
 PY = ("# TODO: later we get schwifty\nimport sys\n\ndef open_jar():\n    # one comment\n"
@@ -52,6 +54,33 @@ def test_words(docs):
     assert n == 3
 
 
+def test_words_together_count_as_one_by_one(docs):
+    words = ("f***", "s***", "d**n", "Hell", "damn", "k*", "i_*", "a**", "*x", "f-k", "2*", "hell")
+    letters = "fFsSaAdDmMnNkKiIhHeElLxX_2-. \nſKıİé\U0001d400"
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(letters, k=400)) for _ in range(40)] + ["", None, "Hell fk f-k x 2x damn"]
+    alone = sum((F.regexp_count("text", F.lit(X._wildcard_pattern(w))) for w in words), F.lit(0))
+    rows = docs(texts).select("text", X.wildcard_count(F.col("text"), words).alias("n"), alone.alias("want")).collect()
+    assert [r.n for r in rows] == [r.want for r in rows] and sum(r.n or 0 for r in rows) > 500
+    assert len(X._wildcard_patterns(V.WILDCARD_WORDS)) == 2
+
+
+def test_names_count_as_their_patterns(docs):
+    rnd = random.Random(4)
+    kinds = ("abAB1_ ", "ab ", "abA ", "AB_1 ", "ab_ ", "aB1_é\U0001d400 .")
+    texts = ["".join(rnd.choices(letters, k=300)) for letters in kinds for _ in range(8)]
+    plain = [F.regexp_count("text", F.lit(java(p))).alias(f"want_{name}") for name, p in X.NAMING_PATTERNS.items()]
+    rows = docs([*texts, "", None]).select(*X.naming_columns(F.col("text")), *plain).collect()
+    for name in X.NAMING_PATTERNS:
+        assert [r[name] for r in rows] == [r[f"want_{name}"] for r in rows] and sum(r[name] or 0 for r in rows) > 20
+
+
+def test_style_facts_of_odd_texts(docs):
+    rows = M.style_facts(docs([("Python", None), ("Python", ""), ("Python", "x = 1\r\n# TODO: a\x0bB_b ")]), F.col("lang")).collect()
+    got = {r.doc_id: (r.loc, r.snake, r.pascal, r.todo, r.persona) for r in rows}
+    assert got[0][:3] == (0, 0, 0) and got[1] == (0, 0, 0, 0, None) and got[2][:4] == (3, 0, 0, 1)
+
+
 NAMES = "a_b camelCase PascalCase MAX_SIZE Name x1_y2 aB A1_B2 a__b _a a_b_C éa_b A Ab"
 
 
