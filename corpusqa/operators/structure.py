@@ -192,24 +192,25 @@ def deep_nesting(docs: DataFrame, id_cols: Sequence[str] = ("doc_id",),
 
 def structure_issues(s: Column) -> Column:
     """array<issue> of a ``structure`` struct: function and nesting smells, nested loops."""
-    def smell(name: str, field: str, limit: int, message: str) -> Column:
+    def smell(s: Column, name: str, field: str, limit: int, message: str) -> Column:
         return F.transform(F.filter(s["functions"], lambda f: f[field] > limit), lambda f: issue(
             V.CODE_SMELLS, name, F.format_string(message, f["name"], f[field]),
             "medium", f["line"]))
 
-    return F.concat(
-        smell("too_many_parameters", "params", V.MAX_PARAMETERS,
+    # Bound once: five lists are read from it.
+    return TX.let(s, lambda s: F.concat(
+        smell(s, "too_many_parameters", "params", V.MAX_PARAMETERS,
               "Function '%s' has %d parameters"),
-        smell("long_function", "lines", V.MAX_FUNCTION_LINES,
+        smell(s, "long_function", "lines", V.MAX_FUNCTION_LINES,
               "Function '%s' is approx. %d lines long"),
-        smell("high_complexity", "complexity", V.MAX_COMPLEXITY,
+        smell(s, "high_complexity", "complexity", V.MAX_COMPLEXITY,
               "Function '%s' has high cyclomatic complexity (%d)"),
         F.transform(s["nesting"], lambda n: issue(
             V.CODE_SMELLS, "deep_nesting",
             F.format_string("Deep nesting (level %d) in function '%s'", n["level"], n["name"]),
             "high", n["line"])),
         nested_loop_issues(s["loops"]),
-    )
+    ))
 
 
 def nested_loop_issues(loops: Column) -> Column:

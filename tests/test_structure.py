@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from corpusqa import values as V
+from corpusqa.functions.blanking import blank_braces, blank_python
 from corpusqa.operators import metrics as M, structure as S
 
 
@@ -190,3 +191,22 @@ def test_functions_over_many_chunks(docs):
     rows = {r["name"]: r for r in S.functions(docs([text])).collect()}
     assert (rows["f"]["line"], rows["f"]["end_line"], rows["f"]["complexity"]) == (1, 1001, 501)
     assert (rows["h"]["line"], rows["h"]["end_line"]) == (1002, 1002)
+
+
+def test_issues_read_a_text_once(docs):
+    """The structure is folded once for all the issues read from it, and the text is made once for the fold."""
+    assert str(S.structure_issues(S.structure(F.upper("text")))).count("upper(text)") == 1
+    text = "\n".join(["def f(a, b, c, d, e, g):"] + ["  " * (k + 1) + "for i in a:" for k in range(6)] + ["x = 1"] * 3)
+    frame = docs([text, None]).select("doc_id", F.inline(S.structure_issues(S.structure(F.col("text")))))
+    found = sorted((r["type"], r["line"]) for r in frame.collect())
+    assert found == sorted([("too_many_parameters", 1), ("deep_nesting", 6), ("deep_nesting", 7)]
+                           + [("nested_loops", k) for k in range(2, 7)])
+
+
+def test_blanking_with_and_without_marks(docs):
+    texts = ["a = 'x\u0001y' \u0001 # \u0001\nb", "a # ' \nb = \"\"\"\n#\n\"\"\" 'c", None, "", "'''a\n'''/* b */"]
+    got = {r["doc_id"]: r["b"] for r in docs(texts).select("doc_id", blank_python(F.col("text")).alias("b")).collect()}
+    assert got == {0: "a = 0 \u0002 \nb", 1: "a \nb = 0\n\u0001\n\u0001 'c", 2: None, 3: "", 4: "0\n\u0001/* b */"}
+    braces = ["x /* a\n' */ + 'b' // c\n`d\n`/ 2", None, "a / b /* c"]
+    got = {r["doc_id"]: r["b"] for r in docs(braces).select("doc_id", blank_braces(F.col("text")).alias("b")).collect()}
+    assert got == {0: "x \n + 0 \n0\n\u0001/ 2", 1: None, 2: "a / b /* c"}
